@@ -213,6 +213,7 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
     owned = led.select("token", "set_id", "n", "place").join(families.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     owned = materialize(owned, "join-owned")
     mixed = owned.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("token")
+    mixed = materialize(mixed, "join-mixed")  # so that the join deals both sides anew and can split a hot token
     left = owned.join(mixed, "token", "left_semi")
     right = left.select("token", *(F.col(c).alias(f"other_{c}") for c in ("set_id", "n", "place", "root")))
     both = F.col("n") + F.col("other_n")
@@ -228,7 +229,7 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
 def _check(pairs: DataFrame, texts: DataFrame, documents: DataFrame, order: Order, words: int, percent: int, more_orders: int) -> DataFrame:
     """The pairs (a, b) that hold. Sets are read once more from one document of each."""
     pairs = materialize(pairs.select("a", "b"), "join-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "join-needed")
     chosen = documents.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     sets = texts.join(chosen, "doc_id").select("set_id", "text").mapInArrow(_sets(words), "set_id long, tokens binary")
     sets = materialize(sets.groupBy("set_id").agg(F.first("tokens").alias("tokens")), "join-sets")
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     empty = documents.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     named = documents.filter("n > 0").join(families.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = materialize(named.select("doc_id", "n", "root"), "join-named")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "join-least")
     return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
 
 

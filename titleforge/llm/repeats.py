@@ -136,6 +136,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     source = docs.select("doc_row", "text")
     every = source.mapInArrow(_paths(window, gram), _PATHS)
     often = every.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1").select("minimiser")
+    often = materialize(often, "repeats-often")  # written, so that both sides of the join are dealt anew and hot keys can be split
     met = materialize(every.join(often, "minimiser", "left_semi"), "repeats-paths")
     classes = met.groupBy("minimiser", "path", "edges").agg(F.count("*").alias("n"), F.min(F.struct("doc_row", "first")).alias("at"))
     classes = materialize(classes.select("minimiser", "path", "edges", "n", "at.*"), "repeats-classes")

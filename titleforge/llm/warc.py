@@ -158,6 +158,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("long", F.octet_length("payload") >= LEAST)
     firsts = full.filter("long and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("key"), "first_id")
+    firsts = materialize(firsts, "warc-firsts")  # so that the join below deals both sides anew and can split a hot digest
     # Short payloads may all be alike; they meet nothing, so they are dealt out by their id.
     key = F.when(F.col("long"), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
     joined = full.withColumn("key", key).join(firsts, "key", "left")
