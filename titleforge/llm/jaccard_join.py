@@ -4,9 +4,9 @@ Two sets with Jaccard similarity t or more share a token among the first n - cei
 order of all tokens. The first order puts tokens that are frequent in the corpus last; it makes the candidates. Other orders,
 frequent tokens last too but shuffled otherwise, must each show a shared prefix token as well before a pair is verified.
 
-Documents of equal sets are one set from the start. Families of near copies are first tied to the sets they share most prefix
-tokens with; then only pairs of sets whose families differ are still looked at, all of them. So a family of any size costs
-links in proportion to its members, and no link between families is lost.
+Documents of equal sets are one set from the start. Where a crowd of sets shares a token, families of near copies are tied
+first, by a few pairs for each set; then all pairs of sets that share a prefix token are looked at unless their families are
+one already. So a family of any size costs pairs in proportion to its members, and no link between families is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ FREQUENT = 200_000
 MORE_ORDERS = 2
 #: Parts in which the rows of a frequent token are dealt out.
 SALTS = 64
+#: Sets that share a token make a crowd beyond this; rounds in which crowds are tied, and partners of a set in each.
+CROWD, ROUNDS, PARTNERS = 48, 6, 3
+#: Rows (of two longs) up to which a list is sent to all tasks.
+SMALL = 200_000
 #: Tokens that are counted at once in a task; counts under LEAST in such a lot are left out (lossy counting).
 LOT, LEAST = 2_000_000, 3
 
@@ -197,42 +201,93 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
     rows = texts.select("text").mapInArrow(_prefixes(order, words, percent), "token long, set_id long, n int, place int, frequent boolean")
     salted = rows.withColumn("salt", F.when(F.col("frequent"), F.pmod("set_id", F.lit(SALTS))).otherwise(0).cast("int"))
     together = W.partitionBy("token", "salt")
-    led = salted.withColumn("leader", F.min("set_id").over(together)).withColumn("last", F.max("set_id").over(together))
-    led = materialize(led.filter("frequent or leader <> last").drop("last", "salt"), "join-shared").distinct()
-
-    # First the leader with which a set shares most prefix tokens; leaders of the parts of a frequent token meet its first leader.
-    heads = led.filter("frequent").groupBy("token").agg(F.min("leader").alias("head"))
-    met = led.filter("set_id <> leader").select(F.col("set_id").alias("a"), F.col("leader").alias("b"))
-    met = met.union(led.filter("frequent and set_id = leader").join(heads, "token").select(F.col("set_id").alias("a"), F.col("head").alias("b")).filter("a <> b"))
-    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    best = met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = materialize(_check(best, texts, documents, order, words, percent, more_orders), "join-links")
-    families = materialize(connected_components(links, "join-families"), "join-family")
-
-    # Then all pairs of sets that share a prefix token and aren't in one family yet.
-    owned = led.select("token", "set_id", "n", "place").join(families.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    owned = materialize(owned, "join-owned")
+    several = salted.withColumn("least", F.min("set_id").over(together)).withColumn("most", F.max("set_id").over(together)).filter("frequent or least <> most")
+    shared = materialize(several.select("token", "set_id", "n", "place").distinct(), "join-shared")
+
+    families = _tie_crowds(shared, texts, documents, order, words, percent, more_orders)
+    pairs = _pairs(shared, families, percent)
+    more = materialize(_check(pairs, _sets_of(pairs, texts, documents, words), order, percent, more_orders), "join-links")
+    links = more if families is None else families.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    return documents, materialize(connected_components(links, "join-families"), "join-family")
+
+
+def _owned(shared: DataFrame, families: DataFrame | None) -> DataFrame:
+    """shared with root, the family of each set so far."""
+    if families is None:
+        return shared.withColumn("root", F.col("set_id"))
+    return shared.join(families.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+
+
+def _tie_crowds(shared: DataFrame, texts: DataFrame, documents: DataFrame, order: Order, words: int, percent: int, more_orders: int) -> DataFrame | None:
+    """Families within tokens that more than CROWD sets share, so that later not all pairs of such a family are looked at.
+
+    In each round neighbours in a shuffled order of a token's sets are verified if their families differ, at most PARTNERS for
+    each set. It is only a start: whatever links it misses are found afterwards among all pairs of different families.
+    """
+    families, sets = None, None
+    crowded = shared.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > CROWD).select("token")
+    rows = materialize(shared.join(materialize(crowded, "join-crowded"), "token", "left_semi"), "join-crowds")
+    if rows.isEmpty():
+        return None
+    for turn in range(ROUNDS):
+        owned = _owned(rows, families)
+        mixed = owned.groupBy("token").agg(F.approx_count_distinct("root", 0.1).alias("kinds")).filter(F.col("kinds") > CROWD).select("token")
+        owned = owned.join(materialize(mixed, "join-mixed"), "token", "left_semi")
+        shuffled = W.partitionBy("token", F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(SALTS))).orderBy(F.xxhash64("set_id", "token", F.lit(turn)))
+        met = owned.select(F.col("set_id").alias("a"), "root", F.lag(F.struct("set_id", "root", "n")).over(shuffled).alias("other"), "n")
+        met = met.filter((F.col("root") != F.col("other.root")) & (F.least("n", "other.n") * 100 >= F.greatest("n", "other.n") * percent))
+        counted = met.groupBy("a", F.col("other.set_id").alias("b")).agg(F.count("*").alias("times"))
+        nth = F.row_number().over(W.partitionBy("a").orderBy(F.desc("times"), F.xxhash64("b", F.lit(turn))))
+        pairs = materialize(counted.withColumn("nth", nth).filter(F.col("nth") <= PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
+        if pairs.isEmpty():
+            break
+        if sets is None:
+            sets = _sets_of(rows.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")), texts, documents, words)
+        links = materialize(_check(pairs, sets, order, percent, more_orders), "join-links")
+        found = links.count()
+        if not found:
+            break
+        if families is not None:
+            links = links.union(families.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        families = materialize(connected_components(links, "join-families"), "join-family")
+        if found * 20 < pairs.count():  # what is left is for the exact step
+            break
+    return families
+
+
+def _pairs(shared: DataFrame, families: DataFrame | None, percent: int) -> DataFrame:
+    """All pairs (a, b) of sets of different families that can be similar by what their prefixes share.
+
+    Let c be the number of shared prefix tokens and w the earlier of the two prefixes' last tokens. Up to w the sets share
+    just these c tokens; beyond w the set whose prefix ends there has ceil(t n) - 1 tokens left. So their intersection is at
+    most c plus that, and it has to reach t / (1 + t) of the sum of their sizes.
+    """
+    owned = materialize(_owned(shared, families), "join-owned")
     mixed = owned.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("token")
-    mixed = materialize(mixed, "join-mixed")  # so that the join deals both sides anew and can split a hot token
-    left = owned.join(mixed, "token", "left_semi")
+    left = owned.join(materialize(mixed, "join-mixed"), "token", "left_semi")
     right = left.select("token", *(F.col(c).alias(f"other_{c}") for c in ("set_id", "n", "place", "root")))
-    both = F.col("n") + F.col("other_n")
-    most_shared = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) - 1
-    pairs = left.join(right, "token").filter((F.col("root") < F.col("other_root")) & (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (most_shared * (100 + percent) >= both * percent))
-    pairs = pairs.select(F.least("set_id", "other_set_id").alias("a"), F.greatest("set_id", "other_set_id").alias("b")).distinct()
-    more = materialize(_check(pairs, texts, documents, order, words, percent, more_orders), "join-links")
-    if more.isEmpty():
-        return documents, families
-    return documents, connected_components(families.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "join-families")
-
-
-def _check(pairs: DataFrame, texts: DataFrame, documents: DataFrame, order: Order, words: int, percent: int, more_orders: int) -> DataFrame:
-    """The pairs (a, b) that hold. Sets are read once more from one document of each."""
-    pairs = materialize(pairs.select("a", "b"), "join-pairs")
+    beyond = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    # From a shared token on, and from the first one on for each similar pair, no more tokens can be shared than either has left.
+    near = (F.col("root") < F.col("other_root")) & (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent)
+    both = left.join(right, (left["token"] == right["token"]) & near).select(F.least("set_id", "other_set_id").alias("a"), F.greatest("set_id", "other_set_id").alias("b"), F.col("n").cast("long").alias("n"), F.col("other_n").cast("long").alias("other_n"), beyond.alias("beyond"))
+    counted = both.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("beyond").alias("beyond"), F.least(F.first("n"), F.first("other_n")).alias("small"), F.greatest(F.first("n"), F.first("other_n")).alias("large"))
+    wanted = F.expr(f"({percent} * (small + large) + {99 + percent}) div {100 + percent}")
+    left_over = F.expr(f"({percent} * large + 99) div 100 - 1")
+    return materialize(counted.filter((F.col("c") + left_over >= wanted) & (F.col("beyond") >= wanted)).select("a", "b"), "join-pairs")
+
+
+def _sets_of(pairs: DataFrame, texts: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """set_id, tokens of all sets in pairs, read once more from one document of each."""
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "join-needed")
-    chosen = documents.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    sets = texts.join(chosen, "doc_id").select("set_id", "text").mapInArrow(_sets(words), "set_id long, tokens binary")
-    sets = materialize(sets.groupBy("set_id").agg(F.first("tokens").alias("tokens")), "join-sets")
+    chosen = materialize(documents.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "join-chosen")
+    # A list of up to SMALL ids goes to all tasks; a longer one is joined by dealing out the texts.
+    few = F.broadcast(chosen) if chosen.count() <= SMALL else chosen
+    sets = texts.join(few, "doc_id").select("set_id", "text").mapInArrow(_sets(words), "set_id long, tokens binary")
+    return materialize(sets, "join-sets").groupBy("set_id").agg(F.max("tokens").alias("tokens"))
+
+
+def _check(pairs: DataFrame, sets: DataFrame, order: Order, percent: int, more_orders: int) -> DataFrame:
+    """The pairs (a, b) that hold."""
     of_a = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     of_b = of_a.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
     return of_b.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified(order, percent, more_orders), "a long, b long")
