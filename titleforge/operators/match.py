@@ -1,0 +1,214 @@
+"""Entity resolution: blocked fuzzy matching, learning memory, gazetteer, dictionary and the cascade of mentions."""
+
+from __future__ import annotations
+
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.classify import COMPANY, PERSON, classify
+from ..functions.scorers import get_scorer, score
+from ..functions.text import PARTS, clean_key, hash_id, review_flag, split_parties, strip_legal_suffix
+
+#: Letters of a key that make its block, and those by which a block beyond its cap is split.
+BLOCK, SPLITS = 4, (6, 8)
+CAP, CASCADE_CAP = 10_000, 2_000
+
+
+def blocks(candidates: DataFrame, cap: int = CAP) -> DataFrame:
+    """candidates (key) with block: the shortest prefix of 4, 6 or 8 letters that at most `cap` keys share."""
+    out = candidates.withColumn("_b4", F.substring("key", 1, BLOCK))
+    counts = out.groupBy("_b4").agg(F.count("*").alias("_n4"))
+    out = out.join(counts, "_b4").withColumn("_b6", F.substring("key", 1, SPLITS[0]))
+    sixes = out.filter(F.col("_n4") > cap).groupBy("_b6").agg(F.count("*").alias("_n6"))
+    out = out.join(sixes, "_b6", "left")
+    block = F.when(F.col("_n4") <= cap, F.col("_b4")).when(F.col("_n6") <= cap, F.col("_b6")).otherwise(F.substring("key", 1, SPLITS[1]))
+    return out.withColumn("block", block).drop("_b4", "_n4", "_b6", "_n6")
+
+
+def fuzzy_match(probes: DataFrame, candidates: DataFrame, threshold: float, scorer: str = "wratio", cap: int = CAP) -> DataFrame:
+    """probes (probe), candidates (key, ord). Returns probe, key, score: the best candidate of the probe's block at or above
+    the threshold, on ties the one with the smallest ord. Probes without one are left out.
+
+    A probe looks in its block at each of the three widths; only blocks that exist at a width have candidates there. Pairs are
+    scored in Arrow batches after the equi-join on the block.
+    """
+    blocked = blocks(candidates, cap)
+    probing = probes.select("probe", F.explode(F.array_distinct(F.array(*[F.substring("probe", 1, n) for n in (BLOCK, *SPLITS)]))).alias("block"))
+    pairs = probing.join(blocked, "block").withColumn("score", score(F.col("probe"), F.col("key"), scorer)).filter(F.col("score") >= threshold)
+    best = pairs.groupBy("probe").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("ord"))).alias("best"))
+    return best.select("probe", "best.key", "best.score")
+
+
+def normalize_learn(values: DataFrame, threshold: float = 90, scorer: str = "wratio", known: DataFrame | None = None) -> DataFrame:
+    """Greedy learning. values: name, ord (order of first appearance, unique). known: canonical, ord of a memory.
+    Returns name, ord, canonical, score, learned.
+
+    A blank name stays itself with 0; a key seen before has the score it was learned with; else the best canonical of the
+    block at or above the threshold; else the key becomes a canonical with 100. Matches never leave the block of four letters,
+    so each block replays its names in order by itself, and blocks run in parallel.
+    """
+    function = get_scorer(scorer)
+    rows = values.select("name", "ord", clean_key(F.coalesce("name", F.lit(""))).alias("key"), F.lit(False).alias("memory"))
+    if known is not None:
+        rows = rows.union(known.select(F.col("canonical"), F.col("ord"), clean_key(F.col("canonical")), F.lit(True)))
+
+    def replay(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["memory", "ord"], ascending=[False, True])
+        canonicals: list[str] = []
+        aliases: dict[str, tuple[str, int]] = {}
+        out = []
+        for row in frame.itertuples():
+            if row.memory:
+                canonicals.append(row.name)
+                aliases.setdefault(row.key, (row.name, 100))
+                continue
+            if not row.key:
+                out.append((row.name, row.ord, row.name, 0, False))
+                continue
+            found, fresh = aliases.get(row.key), False
+            if found is None:
+                best, at = -1.0, None
+                for canonical in canonicals:
+                    points = function(row.key, canonical)
+                    if points > best:
+                        best, at = points, canonical
+                found = (at, round(best)) if at is not None and best >= threshold else (row.key, 100)
+                if found[0] == row.key and found[1] == 100 and row.key not in aliases:
+                    canonicals.append(row.key)
+                aliases[row.key], fresh = found, True
+            out.append((row.name, row.ord, *found, fresh))
+        return pd.DataFrame(out, columns=["name", "ord", "canonical", "score", "learned"])
+
+    grouped = rows.withColumn("block", F.substring("key", 1, BLOCK)).groupBy("block")
+    return grouped.applyInPandas(lambda keys, frame: replay(keys, frame), "name string, ord long, canonical string, score int, learned boolean")
+
+
+def normalize_column(df: DataFrame, column: str, ordinal: str, target: str = "", threshold: float = 90, separator: str = "", scorer: str = "wratio", emit_score: bool = False, review_threshold: int = 0, emit_type: bool = False) -> DataFrame:
+    """Adds the canonical form of a column, part by part; distinct values alone are resolved, in order of first appearance."""
+    target = target or f"{column}_canonical"
+    values = df.groupBy(F.col(f"`{column}`").alias("value")).agg(F.min(ordinal).alias("first"))
+    parts = values.filter("value is not null").select("value", "first", F.posexplode(split_parties(F.col("value"), separator)).alias("at", "part"))
+    names = parts.groupBy(F.col("part").alias("name")).agg(F.min(F.struct("first", "at")).alias("seen"))
+    names = names.select("name", (F.col("seen.first") * 4096 + F.col("seen.at")).alias("ord"))
+    found = normalize_learn(names, threshold, scorer).select(F.col("name").alias("part"), "canonical", "score")
+    joined = parts.join(found, "part").groupBy("value").agg(F.array_sort(F.collect_list(F.struct("at", "canonical"))).alias("list"), F.min("score").alias("low"))
+    joined = joined.select(F.col("value").alias("_value"), F.array_join(F.transform("list", lambda x: x["canonical"]), separator or PARTS).alias("_canonical"), F.col("low").alias("_low"))
+    out = df.join(joined, F.col(f"`{column}`") == F.col("_value"), "left")
+    blank = F.when(F.col(f"`{column}`").isNotNull(), F.when(F.lit(bool(separator)), "").otherwise(F.col(f"`{column}`")))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != target]
+    more = [F.coalesce("_canonical", blank).alias(target)]
+    points = F.coalesce("_low", F.when(F.col(f"`{column}`").isNotNull(), 100 if separator else 0)).cast("int")
+    if emit_score or review_threshold:
+        more.append(points.alias(f"{target}_score"))
+    if review_threshold:
+        more.append(review_flag(points, review_threshold).alias(f"{target}_review"))
+    if emit_type:
+        more.append(F.when(F.col("_canonical").isNotNull(), classify(F.col("_canonical"))).alias(f"{target}_type"))
+    return out.select(*kept, *more)
+
+
+def build_reference(rows: DataFrame, name_column: str, id_column: str | None, ordinal: str) -> DataFrame:
+    """organization, assignee_id, key, ord: distinct trimmed names in order of first sight, with the id of that first row."""
+    name = F.trim(F.col(name_column))
+    ids = F.coalesce(F.trim(F.col(id_column)), F.lit("")) if id_column else F.lit("")
+    first = rows.select(name.alias("organization"), ids.alias("assignee_id"), F.col(ordinal).alias("ord")).filter("organization <> ''").groupBy("organization").agg(F.min(F.struct("ord", "assignee_id")).alias("first"))
+    return first.select("organization", "first.assignee_id", clean_key(F.col("organization")).alias("key"), "first.ord")
+
+
+def reference_match(df: DataFrame, reference: DataFrame, column: str, threshold: float = 90, scorer: str = "wratio", separator: str = "", mode: str = "any", action: str = "flag", emit_score: bool = False, review_threshold: int = 0) -> DataFrame:
+    """Adds {column}_disambiguated, {column}_matched ("true"/"false", null for null) and {column}_assignee_id; or keeps or drops
+    by the flag, where null flags go either way."""
+    values = df.select(F.col(f"`{column}`").alias("value")).filter("value is not null").distinct()
+    parts = values.select("value", F.posexplode_outer(split_parties(F.col("value"), separator)).alias("at", "part")).withColumn("probe", clean_key(F.col("part")))
+    exact = reference.filter("key <> ''").groupBy("key").agg(F.min_by(F.struct("organization", "assignee_id"), "ord").alias("hit"))
+    hits = parts.select("probe").filter("probe <> ''").distinct().join(exact.select(F.col("key").alias("probe"), "hit"), "probe", "left")
+    near = fuzzy_match(hits.filter("hit is null").select("probe"), reference.filter("key <> ''").select("key", "ord").dropDuplicates(["key"]), 0.0 if emit_score or review_threshold else threshold, scorer)
+    near = near.join(exact, "key").select("probe", F.col("hit").alias("near_hit"), F.bround("score").cast("int").alias("near_score"), "score")
+    found = hits.join(near, "probe", "left").select("probe", F.coalesce("hit", F.when(F.col("near_score") >= threshold if emit_score or review_threshold else F.col("score") >= threshold, F.col("near_hit"))).alias("hit"), F.when(F.col("hit").isNotNull(), 100).otherwise(F.coalesce("near_score", F.lit(0))).cast("int").alias("points"))
+    rows = parts.join(found, "probe", "left").groupBy("value").agg(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("at", F.coalesce("hit.organization", "part").alias("name"), F.col("hit").isNotNull().alias("ok"), F.coalesce("hit.assignee_id", F.lit("")).alias("id"), F.coalesce("points", F.lit(0)).alias("points"))))).alias("list"))
+    good = F.filter("list", lambda x: x["ok"])
+    matched = F.size(good) > 0 if mode == "any" else F.size(good) == F.size("list")
+    points = F.when(F.size(good) > 0, F.array_min(F.transform(good, lambda x: x["points"]))).otherwise(F.coalesce(F.array_max(F.transform("list", lambda x: x["points"])), F.lit(0)))
+    rows = rows.select(F.col("value").alias("_value"), F.array_join(F.transform("list", lambda x: x["name"]), separator or PARTS).alias("_name"), F.when(matched, "true").otherwise("false").alias("_ok"), F.coalesce(F.get(F.transform(F.filter(good, lambda x: x["id"] != ""), lambda x: x["id"]), F.lit(0)), F.lit("")).alias("_id"), points.alias("_points"))
+    out = df.join(rows, F.col(f"`{column}`") == F.col("_value"), "left")
+    if action in ("keep", "drop"):
+        return out.filter(F.col("_ok") == ("true" if action == "keep" else "false")).select(*df.columns)
+    names = [f"{column}_disambiguated", f"{column}_matched", f"{column}_assignee_id"]
+    more = [F.col("_name").alias(names[0]), F.col("_ok").alias(names[1]), F.when(F.col("_ok").isNotNull(), F.col("_id")).alias(names[2])]
+    if emit_score:
+        more.append(F.col("_points").cast("int").alias(f"{column}_match_score"))
+    if review_threshold:
+        more.append(review_flag(F.col("_points"), review_threshold).alias(f"{column}_match_review"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *more)
+
+
+def build_dictionary(reference: DataFrame, source: str = "seed") -> tuple[DataFrame, DataFrame]:
+    """(entities, aliases) of a reference: an alias is the key and the key without legal forms; the first source row wins."""
+    ids = F.when(F.col("assignee_id") != "", F.col("assignee_id")).otherwise(hash_id(f"{source}-", F.col("key")))
+    rows = reference.filter("key <> ''").select(ids.alias("entity_id"), F.col("organization").alias("canonical_name"), "key", "ord")
+    entities = rows.groupBy("entity_id").agg(F.max_by("canonical_name", "ord").alias("canonical_name")).select("entity_id", "canonical_name", F.lit(COMPANY).alias("entity_type"), F.lit("").alias("country"), F.lit("").alias("sector"), F.lit(source).alias("source"), F.lit("").alias("ultimate_parent_id"))
+    both = rows.select(F.explode(F.array(F.struct(F.col("key").alias("alias_key"), F.lit(0).alias("rank")), F.struct(strip_legal_suffix(F.col("key")).alias("alias_key"), F.lit(1).alias("rank")))).alias("alias"), "entity_id", "ord").select("alias.*", "entity_id", "ord")
+    aliases = first_wins(both.filter("alias_key <> ''"), "alias_key", "ord", "rank").select("alias_key", "entity_id", F.lit(source).alias("alias_source"))
+    return entities, aliases
+
+
+def first_wins(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    nth = F.row_number().over(W.partitionBy(key).orderBy(*by))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+
+
+def append_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """existing and those of new whose key isn't known."""
+    return existing.unionByName(new.join(existing.select(key), key, "left_anti").select(*new.columns), allowMissingColumns=True)
+
+
+def resolve_mentions(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, provisional: DataFrame | None = None, threshold: float = 90, scorer: str = "token_set") -> DataFrame:
+    """mentions: mention. Returns a row for each distinct mention: mention, entity_id, canonical_name, entity_type,
+    resolution_source (unresolved, exact, person, fuzzy, provisional), resolution_confidence, ultimate_parent_id.
+
+    Each stage takes what the ones before left: exact by key, then by key without legal forms; persons by rule; the best
+    canonical name of the block; and for the rest provisional ids by clusters of similar keys.
+    """
+    from .graph import components
+
+    keyed = mentions.select("mention").distinct().withColumn("key", clean_key(F.coalesce("mention", F.lit("")))).withColumn("bare", strip_legal_suffix(F.col("key")))
+    known = aliases.select("alias_key", "entity_id")
+    names = entities.select("entity_id", "canonical_name", "entity_type", "ultimate_parent_id")
+    if provisional is not None:
+        known = append_new(known, provisional.select("alias_key", "entity_id"), "alias_key")
+        names = append_new(names, provisional.groupBy("entity_id").agg(F.min("canonical_name").alias("canonical_name"), F.min("entity_type").alias("entity_type")).withColumn("ultimate_parent_id", F.lit("")), "entity_id")
+    a, b = (known.select(F.col("alias_key").alias(k), F.col("entity_id").alias(i)) for k, i in (("key", "id_key"), ("bare", "id_bare")))
+    probed = keyed.join(a, "key", "left").join(b, "bare", "left").withColumn("entity_id", F.coalesce("id_key", "id_bare")).drop("id_key", "id_bare")
+    blank, exact = probed.filter("key = ''"), probed.filter("key <> '' and entity_id is not null")
+    rest = probed.filter("key <> '' and entity_id is null").drop("entity_id").withColumn("kind", classify(F.col("mention")))
+    persons, others = rest.filter(F.col("kind") == PERSON), rest.filter(F.col("kind") != PERSON)
+    candidates = names.filter(~F.col("entity_id").startswith("prov-")).select(clean_key(F.col("canonical_name")).alias("key"), "entity_id").filter("key <> ''").groupBy("key").agg(F.min("entity_id").alias("entity_id")).withColumn("ord", F.xxhash64("key"))
+    near = fuzzy_match(others.select(F.col("key").alias("probe")).distinct(), candidates.select("key", "ord"), threshold, scorer, CASCADE_CAP).join(candidates.select("key", "entity_id"), "key")
+    fuzzy = others.join(near.select(F.col("probe").alias("key"), "entity_id", (F.col("score") / 100).alias("confidence")), "key")
+    left = others.join(near.select(F.col("probe").alias("key")), "key", "left_anti")
+    forms = left.groupBy("bare").agg(F.min("key").alias("rep"))
+    paired = blocks(forms.select(F.col("bare").alias("key")), CASCADE_CAP)
+    pairs = paired.alias("x").join(paired.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    pairs = pairs.withColumn("score", score(F.col("a"), F.col("b"), scorer)).filter("score >= 95")
+    pairs = pairs.withColumn("nth", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).filter("nth <= 5").select("a", "b")
+    clusters = forms.join(components(pairs), F.col("bare") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "bare"))
+    reps = clusters.groupBy("cluster").agg(F.min("rep").alias("rep_key"))
+    made = left.join(clusters.select("bare", "cluster"), "bare").join(reps, "cluster")
+    shown = made.filter(F.col("key") == F.col("rep_key")).groupBy("rep_key").agg(F.min("mention").alias("canonical_name"))
+    made = made.join(shown, "rep_key")
+    none = F.lit("")
+
+    def out(df: DataFrame, entity: F.Column, name: F.Column, kind: F.Column, source: str, confidence: F.Column, parent: F.Column = none) -> DataFrame:
+        return df.select("mention", entity.alias("entity_id"), name.alias("canonical_name"), kind.alias("entity_type"), F.lit(source).alias("resolution_source"), confidence.cast("double").alias("resolution_confidence"), parent.alias("ultimate_parent_id"))
+
+    c = F.col
+    return (
+        out(blank, none, F.coalesce("mention", none), F.lit("unknown"), "unresolved", F.lit(0.0))
+        .union(out(exact.join(names, "entity_id"), c("entity_id"), c("canonical_name"), c("entity_type"), "exact", F.lit(1.0), c("ultimate_parent_id")))
+        .union(out(persons, hash_id("person-", c("key")), F.initcap("key"), F.lit(PERSON), "person", F.lit(0.95)))
+        .union(out(fuzzy.join(names, "entity_id"), c("entity_id"), c("canonical_name"), c("entity_type"), "fuzzy", c("confidence"), c("ultimate_parent_id")))
+        .union(out(made, hash_id("prov-", c("rep_key")), c("canonical_name"), c("kind"), "provisional", F.lit(0.5)))
+    )

@@ -1,0 +1,115 @@
+"""Tables in files: datasets of several tables, single files read as text, gazetteers, code files, and input discovery."""
+
+from __future__ import annotations
+
+import fnmatch
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import string_view
+from ..model import COLUMNS
+
+DATA_SUFFIXES = (".parquet", ".arrow", ".feather", ".csv")
+# Columns that hold organizations and their ids, in order of preference.
+NAME_COLUMNS = "organization disambig_assignee_organization assignee_organization disambig_organization org_name".split()
+ID_COLUMNS = "assignee_id disambig_assignee_id id".split()
+
+
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    import pyarrow as pa
+
+    with pa.memory_map(path) as source:
+        return spark.createDataFrame(pa.ipc.open_file(source).read_all())
+
+
+def stringify(df: DataFrame) -> DataFrame:
+    return df.select(*[string_view(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def read_table_file(spark: SparkSession, path: str) -> DataFrame:
+    """Any supported file as text columns."""
+    suffix = Path(path).suffix.lower()
+    if suffix == ".parquet":
+        return stringify(spark.read.parquet(path))
+    if suffix in (".arrow", ".feather"):
+        return stringify(read_arrow(spark, path))
+    if suffix == ".csv":
+        return spark.read.csv(path, header=True, multiLine=True, escape='"')
+    raise ValueError(f"can't read {path}; one of {', '.join(DATA_SUFFIXES)}")
+
+
+def is_dataset_dir(path: str) -> bool:
+    return Path(path).is_dir() and any((Path(path) / f"{t}{s}").exists() for t in COLUMNS for s in (".arrow", ".parquet"))
+
+
+def open_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The known tables first, then others; Arrow before Parquet."""
+    found = {}
+    for suffix in (".arrow", ".parquet"):
+        files = {p.stem: p for p in sorted(Path(path).glob(f"*{suffix}"))}
+        if files:
+            for name in [t for t in COLUMNS if t in files] + [n for n in files if n not in COLUMNS]:
+                found[name] = read_arrow(spark, str(files[name])) if suffix == ".arrow" else spark.read.parquet(str(files[name]))
+            return found
+    raise FileNotFoundError(f"no table in {path}")
+
+
+def match_input_files(folder: str, pattern: str = "", suffixes: tuple[str, ...] = (".xml", ".zip", *DATA_SUFFIXES), recursive: bool = False) -> list[str]:
+    """Files by a glob or a part of their name, whatever its case; sorted."""
+    low = pattern.lower()
+    files = Path(folder).rglob("*") if recursive else Path(folder).glob("*")
+    fits = (lambda n: fnmatch.fnmatch(n, low)) if any(c in low for c in "*?[") else (lambda n: low in n)
+    return sorted({str(p) for p in files if p.is_file() and p.suffix.lower() in suffixes and fits(p.name.lower())})
+
+
+def is_data_file(path: str) -> bool:
+    return Path(path).suffix.lower() in DATA_SUFFIXES
+
+
+def data_table_name(path: str) -> str:
+    return Path(path).stem if Path(path).stem in COLUMNS else "flat"
+
+
+def load(spark: SparkSession, path: str, wanted: list[str] | None = None, limit: int = 0, columns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """A dataset, one data file, or raw XML; limit holds for raw records alone. An empty list of columns drops a table."""
+    from .xml_records import read_records, tables
+
+    if is_dataset_dir(path):
+        found = open_dataset(spark, path)
+    elif is_data_file(path):
+        found = {data_table_name(path): read_table_file(spark, path)}
+    else:
+        found = tables(read_records(spark, path, limit), wanted)
+    for name, kept in (columns or {}).items():
+        if name in found and not kept:
+            del found[name]
+        elif name in found:
+            found[name] = found[name].select(*[c for c in kept if c in found[name].columns])
+    return found
+
+
+def read_reference(spark: SparkSession, path: str, name_column: str = "", id_column: str = "", delimiter: str = "") -> tuple[DataFrame, str, str | None]:
+    """(rows of text, name column, id column) of a gazetteer; the columns are found by their usual names unless given."""
+    if path.lower().endswith(".parquet"):
+        rows = stringify(spark.read.parquet(path))
+    else:
+        rows = spark.read.csv(path, header=True, sep=delimiter or ("," if path.lower().endswith(".csv") else "\t"), escape='"')
+    rows = rows.toDF(*[c.lstrip("﻿").strip('"') for c in rows.columns])
+    name = name_column or next((c for c in NAME_COLUMNS if c in rows.columns), "")
+    if name not in rows.columns:
+        raise ValueError(f"no column with organizations in {path}: {', '.join(rows.columns)}")
+    ids = id_column or next((c for c in ID_COLUMNS if c in rows.columns), "")
+    return rows.withColumn("_ord", F.monotonically_increasing_id()), name, ids if ids in rows.columns else None
+
+
+def read_codes(spark: SparkSession, path: str, id_column: str = "", code_column: str = "") -> DataFrame:
+    """patent_id, cpc as text; by position where no column is named."""
+    if path.lower().endswith(".parquet"):
+        rows = stringify(spark.read.parquet(path))
+    else:
+        rows = spark.read.csv(path, header=True, sep="," if path.lower().endswith(".csv") else "\t", escape='"')
+    if len(rows.columns) < 2:
+        raise ValueError(f"{path} has less than two columns")
+    return rows.select(F.col(f"`{id_column or rows.columns[0]}`").alias("patent_id"), F.col(f"`{code_column or rows.columns[1]}`").alias("cpc"))
