@@ -33,6 +33,8 @@ MORE_ORDERS = 2
 SALTS = 64
 #: Sets that share a token make a crowd beyond this; rounds in which crowds are tied, and partners of a set in each.
 CROWD, ROUNDS, PARTNERS = 48, 6, 3
+#: Pairs for each set beyond which the likeliest are verified first.
+DENSE = 4
 #: Rows (of two longs) up to which a list is sent to all tasks.
 SMALL = 200_000
 #: Tokens that are counted at once in a task; counts under LEAST in such a lot are left out (lossy counting).
@@ -206,9 +208,28 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
 
     families = _tie_crowds(shared, texts, documents, order, words, percent, more_orders)
     pairs = _pairs(shared, families, percent)
-    more = materialize(_check(pairs, _sets_of(pairs, texts, documents, words), order, percent, more_orders), "join-links")
-    links = more if families is None else families.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
-    return documents, materialize(connected_components(links, "join-families"), "join-family")
+    sets = _sets_of(pairs, texts, documents, words)
+    for _ in range(ROUNDS):
+        # Where sets have many partners, the likeliest are verified first; pairs that this brings into one family need no look.
+        if pairs.count() <= DENSE * sets.count():
+            break
+        likely = F.col("c").desc()
+        ranks = pairs.withColumn("of_a", F.row_number().over(W.partitionBy("a").orderBy(likely, "b"))).withColumn("of_b", F.row_number().over(W.partitionBy("b").orderBy(likely, "a")))
+        ranks = materialize(ranks.withColumn("first", (F.col("of_a") <= PARTNERS) | (F.col("of_b") <= PARTNERS)).drop("of_a", "of_b"), "join-ranks")
+        families = _joined(families, _check(ranks.filter("first"), sets, order, percent, more_orders))
+        pairs = ranks.filter("not first").drop("first")
+        for side in ("a", "b"):
+            pairs = pairs.join(families.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+        pairs = materialize(pairs.filter("root_a <> root_b").select("a", "b", "c"), "join-pairs")
+    return documents, _joined(families, _check(pairs, sets, order, percent, more_orders))
+
+
+def _joined(families: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Families after more links (a, b)."""
+    links = materialize(links, "join-links")
+    if families is not None:
+        links = links.union(families.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return materialize(connected_components(links, "join-families"), "join-family")
 
 
 def _owned(shared: DataFrame, families: DataFrame | None) -> DataFrame:
@@ -247,16 +268,14 @@ def _tie_crowds(shared: DataFrame, texts: DataFrame, documents: DataFrame, order
         found = links.count()
         if not found:
             break
-        if families is not None:
-            links = links.union(families.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        families = materialize(connected_components(links, "join-families"), "join-family")
+        families = _joined(families, links)
         if found * 20 < pairs.count():  # what is left is for the exact step
             break
     return families
 
 
 def _pairs(shared: DataFrame, families: DataFrame | None, percent: int) -> DataFrame:
-    """All pairs (a, b) of sets of different families that can be similar by what their prefixes share.
+    """All pairs (a, b, c) of sets of different families that can be similar by what their prefixes share.
 
     Let c be the number of shared prefix tokens and w the earlier of the two prefixes' last tokens. Up to w the sets share
     just these c tokens; beyond w the set whose prefix ends there has ceil(t n) - 1 tokens left. So their intersection is at
@@ -273,12 +292,12 @@ def _pairs(shared: DataFrame, families: DataFrame | None, percent: int) -> DataF
     counted = both.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("beyond").alias("beyond"), F.least(F.first("n"), F.first("other_n")).alias("small"), F.greatest(F.first("n"), F.first("other_n")).alias("large"))
     wanted = F.expr(f"({percent} * (small + large) + {99 + percent}) div {100 + percent}")
     left_over = F.expr(f"({percent} * large + 99) div 100 - 1")
-    return materialize(counted.filter((F.col("c") + left_over >= wanted) & (F.col("beyond") >= wanted)).select("a", "b"), "join-pairs")
+    return materialize(counted.filter((F.col("c") + left_over >= wanted) & (F.col("beyond") >= wanted)).select("a", "b", "c"), "join-pairs")
 
 
 def _sets_of(pairs: DataFrame, texts: DataFrame, documents: DataFrame, words: int) -> DataFrame:
     """set_id, tokens of all sets in pairs, read once more from one document of each."""
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "join-needed")
+    needed = materialize(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "join-needed")
     chosen = materialize(documents.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "join-chosen")
     # A list of up to SMALL ids goes to all tasks; a longer one is joined by dealing out the texts.
     few = F.broadcast(chosen) if chosen.count() <= SMALL else chosen
@@ -288,7 +307,7 @@ def _sets_of(pairs: DataFrame, texts: DataFrame, documents: DataFrame, words: in
 
 def _check(pairs: DataFrame, sets: DataFrame, order: Order, percent: int, more_orders: int) -> DataFrame:
     """The pairs (a, b) that hold."""
-    of_a = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+    of_a = pairs.select("a", "b").join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     of_b = of_a.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
     return of_b.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified(order, percent, more_orders), "a long, b long")
 
