@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def _all_stars(pairs: DataFrame) -> bool:
+    """Whether each edge leads from a root to a leaf: no node has two parents, or a parent and children."""
+    ends = pairs.select(F.col("b").alias("node"), F.lit(1).alias("parents"), F.lit(0).alias("children")).union(pairs.select("a", F.lit(0), F.lit(1)))
+    inner = ends.groupBy("node").agg(F.sum("parents").alias("parents"), F.max("children").alias("children")).filter("parents > 1 or (parents = 1 and children = 1)")
+    return inner.agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges has a, b (long). Returns node, root: the smallest node reachable; each node of an edge once.
+    """edges has a, b (long). Returns node, root: the smallest node reachable; each node of an edge once, but not those of
+    edges to themselves or to null alone.
 
-    Each step keeps connectivity and brings edges nearer to stars around the smallest node; it ends when a step changes
-    nothing. Every step reads and writes a table in the shared folder. The number of steps grows with the logarithm of the
+    Each step keeps connectivity and brings edges nearer to stars around the smallest node; it ends as soon as all edges are
+    such stars. Every step reads and writes a table in the shared folder. The number of steps grows with the logarithm of the
     longest path, and a node with very many edges is only ever aggregated or joined, not gathered.
     """
     pairs = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), name)
-    before = None
-    while True:
+    while not _all_stars(pairs):
         both = pairs.union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
         large = both.filter("b > a").join(least, "a").select(F.col("root").alias("a"), "b").filter("a < b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("root"))
         small = large.join(down, "b").select(F.col("root").alias("x"), F.explode(F.array("a", "b")).alias("y")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         pairs = materialize(small, name)
-        stats = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(stats) == before:
-            return pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).union(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
-        before = tuple(stats)
+    return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).union(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
