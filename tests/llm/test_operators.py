@@ -78,6 +78,24 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100}
+    got = {r.node: r.root for r in components.connected_components(edges, lot=3).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100}
+    assert components.connected_components(edges.limit(0)).count() == 0
+    pairs = [(RNG.randrange(300), RNG.randrange(300)) for _ in range(200)]
+    least = {x: x for pair in pairs for x in pair}
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    nodes, roots = components.forest(*(np.array(side) for side in zip(*pairs, strict=True)))
+    assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == least
+
+
+def test_jaccard_join_of_missing_and_repeated_ids(spark):
+    words = [f"a{i}" for i in range(100)]
+    first, near, other = " ".join(words), " ".join(words[:-1] + ["b"]), " ".join(f"c{i}" for i in range(90))
+    rows = spark.createDataFrame([(None, first), (5, near), (5, other), (9, other + " d"), (4, "plain words"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(rows).collect()), key=str)
+    assert got == sorted([(None, 96, 5), (5, 96, 5), (5, 86, 5), (9, 87, 5), (4, 1, 4), (None, 0, None)], key=str)
 
 
 def test_personal_data(docs, empty):

@@ -143,12 +143,19 @@ def _prefixes(order: Order, words: int, percent: int):
 
 
 def _sets(words: int):
+    """(set_id, tokens) for rows (set_id, text) whose text has that set, or any where set_id is null."""
+
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in source:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, known, words).tobytes() for t in utf8(part.column(1))], pa.binary())], ["set_id", "tokens"])
+                found = {}
+                for wanted, text in zip(batch.column(0).slice(at, 512).to_pylist(), utf8(batch.column(1).slice(at, 512)), strict=True):
+                    tokens = shingles(text, known, words)
+                    # Rows that repeat a doc_id may hold other texts than that of the wanted set.
+                    if len(tokens) and wanted in (None, own := set_id(tokens)):
+                        found[own] = tokens.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["set_id", "tokens"])
 
     return batches
 
@@ -301,8 +308,11 @@ def _sets_of(pairs: DataFrame, texts: DataFrame, documents: DataFrame, words: in
     chosen = materialize(documents.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "join-chosen")
     # A list of up to SMALL ids goes to all tasks; a longer one is joined by dealing out the texts.
     few = F.broadcast(chosen) if chosen.count() <= SMALL else chosen
-    sets = texts.join(few, "doc_id").select("set_id", "text").mapInArrow(_sets(words), "set_id long, tokens binary")
-    return materialize(sets, "join-sets").groupBy("set_id").agg(F.max("tokens").alias("tokens"))
+    named = texts.join(few, "doc_id").select("set_id", "text").mapInArrow(_sets(words), "set_id long, tokens binary")
+    # Sets of documents without a doc_id, which no join by doc_id reaches.
+    nameless = texts.filter("doc_id is null").select(F.lit(None).cast("long").alias("set_id"), "text").mapInArrow(_sets(words), "set_id long, tokens binary")
+    sets = materialize(named.union(nameless.join(needed, "set_id", "left_semi")), "join-sets")
+    return materialize(sets.groupBy("set_id").agg(F.max("tokens").alias("tokens")), "join-set")
 
 
 def _check(pairs: DataFrame, sets: DataFrame, order: Order, percent: int, more_orders: int) -> DataFrame:
