@@ -3,6 +3,7 @@ import zipfile
 
 import pytest
 
+from titleforge import queries
 from titleforge.functions import classify, scorers, text
 from titleforge.model import COLUMNS
 from titleforge.operators import codes, filters, ledger, match, relational
@@ -193,3 +194,14 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_cluster_components_all(spark, tmp_path):
+    edges = [(o, p, s) for o, (p, s) in enumerate([(1, 1), (98, 2), (195, 2), (3, 1), (3, 4), (500, 9), (597, 8), (6, 8), (7, 7)])]
+    spark.createDataFrame(edges, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    least = {k: k for _, p, s in edges for k in (f"p{p}", f"q{s}")}
+    for _ in least:
+        for _, p, s in edges:
+            least[f"p{p}"] = least[f"q{s}"] = min(least[f"p{p}"], least[f"q{s}"])
+    got = {r.node: r.root for r in queries.queries()["cluster_components_all"](spark, str(tmp_path)).collect()}
+    assert got == least and len(set(least.values())) == 5
