@@ -98,6 +98,22 @@ def test_jaccard_join_of_missing_and_repeated_ids(spark):
     assert got == sorted([(None, 96, 5), (5, 96, 5), (5, 86, 5), (9, 87, 5), (4, 1, 4), (None, 0, None)], key=str)
 
 
+def test_links_of_jaccard_join(spark, docs, empty, monkeypatch):
+    sets = {i: shingles(t) for i, t in ROWS}
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: sum(linked(s, o) for j, o in sets.items() if i != j) for i, s in sets.items()}
+    roots = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "BLOCK", 9)
+    rows = jaccard_join.link_counts(docs).collect()
+    assert {r.doc_id: r.n_links for r in rows} == want and max(want.values()) > 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == roots
+    assert jaccard_join.link_counts(empty).count() == 0
+    words = [f"a{i}" for i in range(100)]  # 100 and 80 words: as far apart in size as a link allows
+    rows = spark.createDataFrame([(1, " ".join(words)), (None, " ".join(words[:81])), (3, " ".join(words[:80])), (3, " ".join(words))], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.n_links) for r in jaccard_join.link_counts(rows).collect()), key=str)
+    assert got == sorted([(1, 96, 2), (3, 96, 2), (None, 77, 3), (3, 76, 1)], key=str)
+
+
 def test_personal_data(docs, empty):
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")

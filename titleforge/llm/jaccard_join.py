@@ -7,10 +7,14 @@ frequent tokens last too but shuffled otherwise, must each show a shared prefix
 Documents of equal sets are one set from the start. Where a crowd of sets shares a token, families of near copies are tied
 first, by a few pairs for each set; then all pairs of sets that share a prefix token are looked at unless their families are
 one already. So a family of any size costs pairs in proportion to its members, and no link between families is lost.
+
+All links lie within families. link_counts compares all sets of a family whose sizes allow a link, a block of sets with a
+block at once, so no pair is a row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +43,8 @@ DENSE = 4
 SMALL = 200_000
 #: Tokens that are counted at once in a task; counts under LEAST in such a lot are left out (lossy counting).
 LOT, LEAST = 2_000_000, 3
+#: Sets, and tokens of them, in a block of a family whose links are counted at once, about.
+BLOCK, BLOCK_TOKENS = 256, 100_000
 
 
 def shingles(text: bytes | None, known: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -338,6 +344,88 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
 
 
+def _linked(left: list[dict], right: list[dict] | None, percent: int) -> list[tuple[int, int]]:
+    """(set_id, links) for sets of two blocks, or of one with itself, that are linked with another set; each set is a dict with
+    set_id, many (documents that have it) and tokens. A link counts once for each document of the other set."""
+    of = [[np.frombuffer(s["tokens"], np.uint64) for s in side] for side in (left, right if right is not None else left)]
+    flat = [np.concatenate(sets) for sets in of]
+    if right is None:
+        tokens, counts = np.unique(flat[0], return_counts=True)
+        tokens = tokens[counts > 1]
+    else:
+        tokens = np.intersect1d(*flat)
+    if not len(tokens):
+        return []
+
+    def table(sets: list[np.ndarray], all_tokens: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(tokens, all_tokens), len(tokens) - 1)
+        has = tokens[at] == all_tokens
+        out = np.zeros((len(sets), len(tokens)), np.float32)  # sums stay exact up to 2**24 shared tokens
+        out[np.repeat(np.arange(len(sets)), [len(s) for s in sets])[has], at[has]] = 1
+        return out
+
+    first = table(of[0], flat[0])
+    second = first if right is None else table(of[1], flat[1])
+    shared = np.rint(first @ second.T).astype(np.int64)
+    n, other_n = (np.array([len(s) for s in side], np.int64) for side in of)
+    linked = 100 * shared >= percent * (n[:, None] + other_n[None, :] - shared)
+    if right is None:
+        np.fill_diagonal(linked, False)
+    found = [(left, linked @ np.array([s["many"] for s in right or left], np.int64))]
+    if right is not None:
+        found.append((right, np.array([s["many"] for s in left], np.int64) @ linked))
+    return [(s["set_id"], int(links)) for side, counts in found for s, links in zip(side, counts, strict=True) if links]
+
+
+def _links(percent: int):
+    """(set_id, links) for rows of blocks (sets), or of pairs of blocks (sets, other_sets)."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            rows = []
+            for i in range(batch.num_rows):
+                rows += _linked(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() if batch.num_columns > 1 else None, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["set_id", "links"])
+
+    return batches
+
+
+def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, more_orders: int = MORE_ORDERS) -> DataFrame:
+    """near_duplicates with n_links for each row: the number of other rows that it is linked with, all of them counted.
+
+    Sets of a family are dealt to bands by size, and within a band to blocks. Linked sets lie in one band or in neighbours.
+    """
+    documents, families = similar_sets(docs, words, percent, frequent, more_orders)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    many = materialize(documents.filter("n > 0").groupBy("set_id").agg(F.count("*").alias("many"), F.first("n").alias("n")), "join-many")
+    # Slightly wider than the ratio of sizes that a link allows, so that rounding puts no link two bands apart.
+    width = math.log(100 / percent) * 1.01 + 1e-3
+    banded = materialize(families.select(F.col("node").alias("set_id"), "root").join(many, "set_id").withColumn("band", F.floor(F.log("n") / width)), "join-bands")
+    sizes = banded.groupBy("root", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    sizes = materialize(sizes, "join-sizes")
+    placed = banded.join(sizes, ["root", "band"]).select("set_id", "many", "root", "band", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"))
+    sets = _sets_of(families.select(F.col("node").alias("a"), F.col("node").alias("b")), texts, documents, words)
+    blocks = placed.join(sets, "set_id").groupBy("root", "band", "block").agg(F.collect_list(F.struct("set_id", "many", "tokens")).alias("sets"))
+    blocks = materialize(blocks, "join-blocks")
+
+    each = sizes.select("root", "band", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    same = each.filter("block < blocks - 1").select("root", "band", "block", F.col("band").alias("other_band"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("other_block"))
+    above = each.select("root", (F.col("band") - 1).alias("band"), F.col("band").alias("other_band"), F.col("block").alias("other_block"))
+    pairs = same.union(each.join(above, ["root", "band"]).select("root", "band", "block", "other_band", "other_block"))
+    others = blocks.select("root", *(F.col(c).alias(f"other_{c}") for c in ("band", "block", "sets")))
+    met = materialize(pairs, "join-met").join(blocks, ["root", "band", "block"]).join(others, ["root", "other_band", "other_block"]).select("sets", "other_sets")
+    schema = "set_id long, links long"
+    links = blocks.filter("size(sets) > 1").select("sets").mapInArrow(_links(percent), schema).union(met.mapInArrow(_links(percent), schema))
+    links = materialize(materialize(links, "join-counts").groupBy("set_id").agg(F.sum("links").alias("links")), "join-links")
+
+    of_set = many.join(families.withColumnRenamed("node", "set_id"), "set_id", "left").join(links, "set_id", "left")
+    of_set = of_set.select("set_id", F.coalesce("root", "set_id").alias("root"), (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = materialize(documents.filter("n > 0").join(of_set, "set_id").select("doc_id", "n", "root", "n_links"), "join-named")
+    least = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "join-least")
+    empty = documents.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").union(empty)
+
+
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group of near duplicates: that with the smallest doc_id, or any of those that repeat it.
     Rows without a doc_id stay."""

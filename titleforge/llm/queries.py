@@ -20,6 +20,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_documents(spark, sf_dir))
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_counts(_documents(spark, sf_dir))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_documents(_documents(spark, sf_dir))
 
@@ -58,7 +62,7 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_personal_data, op3_flac_media, op4_va_topk, op5_language, op6_token_counts, op7_repeats, op8_warc, op9_sentencepiece, op10_fair_mix)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_personal_data, op3_flac_media, op4_va_topk, op5_language, op6_token_counts, op7_repeats, op8_warc, op9_sentencepiece, op10_fair_mix, op1_jaccard_links)}
 
 
 _OP1 = r"""
@@ -77,6 +81,11 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
+_OP1_LINKS = (
+    _OP1.replace("r.component_id\n", "r.component_id, coalesce(l.n_links, 0)::BIGINT AS n_links\n")
+    + "LEFT JOIN (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a) l ON l.a = d.doc_id\n"
+)
+
 _OP7 = r"""
 WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 win AS (SELECT r, i, sha256(array_to_string(words[i:i + 34], ' ')) AS h FROM w, LATERAL (SELECT unnest(range(1, len(words) - 33)) AS i) s),
@@ -91,4 +100,4 @@ FROM w LEFT JOIN kept USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _OP1, "op4_va_topk": va_search.ORACLE, "op7_repeats": _OP7, "op8_warc": warc.ORACLE, "op10_fair_mix": fair_mix.ORACLE}
+    return {"op1_ngram_jaccard": _OP1, "op1_jaccard_links": _OP1_LINKS, "op4_va_topk": va_search.ORACLE, "op7_repeats": _OP7, "op8_warc": warc.ORACLE, "op10_fair_mix": fair_mix.ORACLE}
