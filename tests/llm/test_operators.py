@@ -147,6 +147,17 @@ def test_personal_data(docs, empty):
     assert len(pii.find("9" * 200_000 + "@" + "a" * 200_000)) == 0
 
 
+def test_personal_data_disguised_in_part(spark):
+    texts = ["to jоhn@example.com now", "to john@example.cоm now", "a.b@mаil.example.com", "10.0.0.1２ up"]
+    found = ["jоhn@example.com", "john@example.cоm", "a.b@mаil.example.com", "10.0.0.1２"]
+    for text, whole in zip(texts, found, strict=True):
+        base, spans = pii.spans_of(text)
+        assert set(base) < set(spans) and [text[s.start : s.end] for s in spans if s not in base] == [whole]
+        assert pii.redacted(text) == text.replace(whole, "<IP>" if whole[0] == "1" else "<EMAIL>")
+    rows = pii.find_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.n_added for r in sorted(rows)] == [1, 1, 1, 1]
+
+
 def test_flac(docs, empty):
     rows = {r.doc_id: r for r in flac.describe(flac.store(docs)).collect()}
     for i, text in ROWS:

@@ -186,23 +186,17 @@ def deobfuscate(text: str) -> Tape | None:
 
 
 def spans_of(text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans), both by kind as listed, then start. A disguised find is added where it covers no base span of
-    any kind and rests on letters that a transducer rewrote."""
+    """(base spans, all spans), both by kind as listed, then start. A disguised find is added where it rests on letters that a
+    transducer rewrote, also beside a base span that is a fragment of it."""
     base = find(text)
     tape = deobfuscate(text)
     if tape is None:
         return base, base
-    taken = sorted((s.start, s.end) for s in base)
-    starts = [s for s, _ in taken]
     added = []
     for span in find(tape.text):
         begin, end = tape.source(span.start, False), tape.source(span.end - 1, True)
-        if text[begin:end] == tape.text[span.start : span.end]:
-            continue
-        i = bisect.bisect_left(starts, end)
-        if any(e > begin for _, e in taken[max(0, i - 4) : i]):
-            continue
-        added.append(Span(span.kind, begin, end))
+        if text[begin:end] != tape.text[span.start : span.end]:
+            added.append(Span(span.kind, begin, end))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted({*base, *added}, key=lambda s: (order[s.kind], s.start, s.end))
 
@@ -235,7 +229,7 @@ def find_documents(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: str) -> str:
-    """The text with each found span replaced by <KIND>; where spans overlap, the first and longest wins."""
+    """The text with each found span replaced by <KIND>; where spans overlap, the first and longest names what they cover."""
     spans = sorted(spans_of(text)[1], key=lambda s: (s.start, -s.end))
     out, at = [], 0
     for kind, start, end in spans:
