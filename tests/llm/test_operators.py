@@ -158,6 +158,22 @@ def test_personal_data_disguised_in_part(spark):
     assert [r.n_added for r in sorted(rows)] == [1, 1, 1, 1]
 
 
+def test_personal_data_with_spelled_signs():
+    for found in (
+        "john at example.com",
+        "john at mail.example.com",
+        "john at example [dot] com",
+        "john AT example dot co.uk",
+        "john dot smith at example dot com",
+        "j dot r dot smith [at] example.com",
+    ):
+        base, spans = pii.spans_of(f"write: {found}, please")
+        assert base == [] and [(s.kind, s.start, s.end) for s in spans] == [("email", 7, 7 + len(found))]
+    for clean in ("it is at 10.30 or at 3.5 or at the end. Then", "connect the dot at the end", "arrived at home. Later"):
+        assert pii.spans_of(clean) == ([], [])
+    assert [tuple(s) for s in pii.spans_of("the dot john@mail.com")[1]] == [("email", 8, 21)]
+
+
 def test_flac(docs, empty):
     rows = {r.doc_id: r for r in flac.describe(flac.store(docs)).collect()}
     for i, text in ROWS:

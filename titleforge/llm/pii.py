@@ -94,9 +94,10 @@ _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s,-]+)?{_DIGIT_WORD}(?:[\s,-]+(?:{_
 _SIGNS = {"dot": ".", "point": ".", "plus": "+", "dash": "-"}
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKETED = re.compile(rf"\s*{_OPEN}\s*(at|@|dot|\.)\s*{_CLOSE}\s*", re.IGNORECASE)
-_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s+(?:at|@)\s+(?=[A-Za-z0-9-]+(?:(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,})", re.IGNORECASE)
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s+(?:at|@)\s+(?=[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+|\.)[A-Za-z]{2,})", re.IGNORECASE)
 _SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z]{2,})", re.IGNORECASE)
-_HINT = re.compile(r"[\[({<]\s{0,8}(?:at|dot|@|\.)\s{0,8}[\])}>]|\sdot\s", re.IGNORECASE)
+_LOCAL_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.IGNORECASE)
+_HINT = re.compile(r"[\[({<]\s{0,8}(?:at|dot|@|\.)\s{0,8}[\])}>]|\sdot\s|\s(?:at|@)\s++[a-z0-9-]++\.[a-z0-9]", re.IGNORECASE)
 
 
 class Tape:
@@ -181,7 +182,19 @@ def deobfuscate(text: str) -> Tape | None:
                 tail = re.compile(r"[A-Za-z0-9-]+").match(tape.text, m.end())
                 if tail:
                     bisect.insort(signs, tail.end())
-        tape = tape.rewrite(edits)
+        dots = {m.end(): m.start() for m in _LOCAL_DOT.finditer(tape.text)}
+        for m in re.finditer("@", tape.text) if dots else ():  # within what precedes a sign that stands for a disguised one
+            begin = m.start()
+            if text[tape.source(begin, False) : tape.source(begin, True)] == "@":
+                continue
+            while True:
+                while begin and tape.text[begin - 1] in _LOCAL_SIGNS:
+                    begin -= 1
+                if begin not in dots:
+                    break
+                edits.append((dots[begin], begin, "."))
+                begin = dots[begin]
+        tape = tape.rewrite(sorted(set(edits)))
     return tape if tape.text != text else None
 
 
