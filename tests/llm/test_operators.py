@@ -98,6 +98,17 @@ def test_jaccard_join_of_missing_and_repeated_ids(spark):
     assert got == sorted([(None, 96, 5), (5, 96, 5), (5, 86, 5), (9, 87, 5), (4, 1, 4), (None, 0, None)], key=str)
 
 
+def test_keep_first_of_missing_and_repeated_ids(spark):
+    words = [f"a{i}" for i in range(100)]
+    a, near, b, c = " ".join(words), " ".join(words[:-1] + ["b"]), " ".join(f"c{i}" for i in range(90)), " ".join(f"d{i}" for i in range(90))
+    rows = [(5, a), (5, b), (9, near), (4, b + " x"), (None, a), (None, c), (None, c + " y"), (7, "z"), (7, "z"), (8, None), (8, " "), (None, "")]
+    kept = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    nameless = [t for i, t in got if i is None and t]
+    assert len(nameless) == 1 and nameless[0] in (c, c + " y")
+    assert sorted((x for x in got if x[0] or not x[1]), key=str) == sorted([(5, a), (4, b + " x"), (7, "z"), (8, None), (8, " "), (None, "")], key=str)
+
+
 def test_links_of_jaccard_join(spark, docs, empty, monkeypatch):
     sets = {i: shingles(t) for i, t in ROWS}
     linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)

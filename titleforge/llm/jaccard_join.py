@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WordHashes, gram_hashes, materialize, mix, utf8
 from .components import connected_components
@@ -426,12 +427,34 @@ def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fre
     return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").union(empty)
 
 
+def _with_set_id(words: int):
+    """The rows without their last column, a text, and with the id of its set: null where it has no shingle."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in source:
+            found = [shingles(text, known, words) for text in utf8(batch.columns[-1])]
+            ids = pa.array([set_id(tokens) if len(tokens) else None for tokens in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "_set_id"])
+
+    return batches
+
+
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group of near duplicates: that with the smallest doc_id, or any of those that repeat it.
-    Rows without a doc_id stay."""
-    found = near_duplicates(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    nulls = docs.filter("doc_id is null")
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").isEmpty():
-        return kept.union(nulls.select(kept.columns)).select(docs.columns)
-    return kept.dropDuplicates(["doc_id"]).union(nulls.select(kept.columns)).select(docs.columns)
+    """docs with one row of each group of near duplicates: that with the smallest doc_id (null after all others), of several
+    with that id one by set id, then text. Rows without a shingle are in no group and stay."""
+    documents, families = similar_sets(docs, words, percent)
+    owned = documents.filter("n > 0").join(families.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    first = owned.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set_id")).alias("row"))
+    first = materialize(first.select(F.col("row.doc_id").alias("_doc_id"), F.col("row.set_id").alias("_set_id")), "join-first")
+    repeated = materialize(documents.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_doc_id")).agg(F.count("*").alias("many")).filter("many > 1").select("_doc_id"), "join-repeated")
+
+    # An id that is there once stands for its row; for the others, the set tells which of the rows is meant.
+    own = F.col("doc_id").cast("long") == F.col("_doc_id")
+    single = first.select("_doc_id").union(documents.filter("n = 0").select("doc_id")).join(repeated, "_doc_id", "left_anti")
+    kept = docs.join(single, own, "left_semi")
+    several = docs.filter("doc_id is null").union(docs.join(repeated, own, "left_semi").select(docs.columns))
+    several = several.withColumn("_text", F.col("text").cast("string")).mapInArrow(_with_set_id(words), StructType([*docs.schema, StructField("_set_id", LongType())]))
+    met = several.join(first.withColumnRenamed("_set_id", "_first"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_set_id") == F.col("_first")), "left_semi")
+    one = met.groupBy("doc_id", "_set_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("row")).select("row.*")
+    return kept.select(docs.columns).union(one.select(docs.columns)).union(several.filter("_set_id is null").select(docs.columns))
