@@ -98,6 +98,12 @@ def test_jaccard_join_of_missing_and_repeated_ids(spark):
     assert got == sorted([(None, 96, 5), (5, 96, 5), (5, 86, 5), (9, 87, 5), (4, 1, 4), (None, 0, None)], key=str)
 
 
+def test_keep_identified_without_labels(spark):
+    rows = [(1, "words here", None), (2, "words there", None), (3, "123", None), (4, None, None), (5, "", "en")]
+    kept = lang_id.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(tuple(r) for r in kept) == [(1, "words here", "und"), (2, "words there", "und")]
+
+
 def test_keep_first_of_missing_and_repeated_ids(spark):
     words = [f"a{i}" for i in range(100)]
     a, near, b, c = " ".join(words), " ".join(words[:-1] + ["b"]), " ".join(f"c{i}" for i in range(90)), " ".join(f"d{i}" for i in range(90))

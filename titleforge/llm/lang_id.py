@@ -158,7 +158,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs without those whose language can't be told (no text or no letter); lang becomes the predicted one where null."""
+    """docs without those whose language can't be told (no text or no letter); lang becomes the predicted one where null,
+    which is und if no label was learned."""
     model = model or train(docs)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +168,10 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
             at_text, at_lang = names.index("text"), names.index("lang")
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                labels, _ = model.predict(part.column(at_text).to_pylist())
+                texts = part.column(at_text).to_pylist()
+                labels, _ = model.predict(texts)
                 langs = [old if old is not None else new for old, new in zip(part.column(at_lang).to_pylist(), labels, strict=True)]
-                kept = pa.array([x != UNDETERMINED for x in labels])
+                kept = pa.array([bool(t and _LETTER.search(t)) for t in texts])
                 columns = [pa.array(langs, pa.string()) if i == at_lang else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names).filter(kept)
 
