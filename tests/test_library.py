@@ -45,6 +45,19 @@ def test_xml_tables(spark, xml, tmp_path):
     assert xml_records.unzip(str(tmp_path / "z.zip"), str(tmp_path / "un")).endswith("in.xml")
 
 
+def test_load_of_archives(spark, xml, tmp_path):
+    with zipfile.ZipFile(tmp_path / "in.ZIP", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("readme.txt", "no records")
+        z.write(xml, "in.xml")
+    plain, packed = (files.load(spark, str(p)) for p in (xml, tmp_path / "in.ZIP"))
+    assert {t: sorted(df.collect(), key=str) for t, df in packed.items()} == {t: sorted(df.collect(), key=str) for t, df in plain.items()}
+    assert packed["flat"].count() == 4
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
+        z.writestr("readme.txt", "no records")
+    with pytest.raises(ValueError):
+        files.load(spark, str(tmp_path / "none.zip"))
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(0, "N", 95), (1, "Y", None), (2, None, 1), (3, "y", 2), (4, "", 3)], "id int, f string, n int")
     ids = lambda *c, **k: sorted(r.id for r in filters.apply(df, [filters.Clause(*x) for x in c], **k).collect())

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import fnmatch
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,8 +75,25 @@ def data_table_name(path: str) -> str:
     return Path(path).stem if Path(path).stem in COLUMNS else "flat"
 
 
+def _unpacked(spark: SparkSession, path: str) -> str:
+    """An archive's XML in a folder of its own in the shared one (spark.checkpoint.dir, or a temporary one where it is unset); it
+    is removed when this Python ends, as tables are read from it later."""
+    from .xml_records import unzip
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base and "://" in base and not base.startswith("file://"):
+        raise ValueError(f"can't unpack {path} into {base}; unpack it first")
+    if base:
+        base = base.removeprefix("file://").removeprefix("file:")
+        Path(base).mkdir(parents=True, exist_ok=True)
+    folder = tempfile.mkdtemp(prefix="unzipped-", dir=base)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    Path(folder).chmod(0o755)  # executors may run as another user
+    return f"file://{unzip(path, folder)}"
+
+
 def load(spark: SparkSession, path: str, wanted: list[str] | None = None, limit: int = 0, columns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
-    """A dataset, one data file, or raw XML; limit holds for raw records alone. An empty list of columns drops a table."""
+    """A dataset, one data file, or raw XML, also in a .zip archive; limit holds for raw records alone. An empty list of columns drops a table."""
     from .xml_records import read_records, tables
 
     if is_dataset_dir(path):
@@ -81,6 +101,7 @@ def load(spark: SparkSession, path: str, wanted: list[str] | None = None, limit:
     elif is_data_file(path):
         found = {data_table_name(path): read_table_file(spark, path)}
     else:
+        path = _unpacked(spark, path) if path.lower().endswith(".zip") else path
         found = tables(read_records(spark, path, limit), wanted)
     for name, kept in (columns or {}).items():
         if name in found and not kept:
