@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +61,11 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, 0).otherwise(F.size(F.split(trimmed, SPACE_PATTERN))).cast("long")
 
 
-def over_batches(df: DataFrame, columns: list[Column], schema: str, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow over only the given columns, so that clashing or unused columns never travel."""
-    return df.select(*columns).mapInArrow(function, schema)
+def parts(source: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that what is made of the texts of a slice stays small."""
+    for batch in source:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -74,7 +76,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """64-bit hash of each word; bounded, as words repeat."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)

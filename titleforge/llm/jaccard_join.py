@@ -1,12 +1,16 @@
 """Operator 1: n-gram Jaccard join with filters under several global orders.
 
 Two sets with Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 tokens of each, under every total
-order of all tokens. The first order puts tokens that are frequent in the corpus last; it makes the candidates. Other orders,
-frequent tokens last too but shuffled otherwise, must each show a shared prefix token as well before a pair is verified.
+order of all tokens. The first order puts tokens that are frequent in the corpus last; it makes the candidates, a table of
+pairs. Other orders, frequent tokens last too but shuffled otherwise, cut that table down: a pair stays only if its prefixes
+meet under each of them. Full sets are read for what is left.
+
+A set also has a sketch: the parity of the number of its tokens in each of 512 cells. Sketches of two sets differ in no more
+bits than the sets differ in tokens, so a pair that differs in more than a link allows is never a row. That bound is exact.
 
 Documents of equal sets are one set from the start. Where a crowd of sets shares a token, families of near copies are tied
-first, by a few pairs for each set; then all pairs of sets that share a prefix token are looked at unless their families are
-one already. So a family of any size costs pairs in proportion to its members, and no link between families is lost.
+first, by a few likely pairs for each set; then all pairs of sets that share a prefix token are looked at unless their
+families are one already. So a family costs pairs in proportion to its members, and no link between families is lost.
 
 All links lie within families. link_counts compares all sets of a family whose sizes allow a link, a block of sets with a
 block at once, so no pair is a row.
@@ -20,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WordHashes, gram_hashes, materialize, mix, utf8
+from .common import WordHashes, gram_hashes, materialize, mix, parts, utf8
 from .components import connected_components
 
 #: Words in a shingle, and the similarity in percent.
@@ -36,8 +40,11 @@ FREQUENT = 200_000
 MORE_ORDERS = 2
 #: Parts in which the rows of a frequent token are dealt out.
 SALTS = 64
-#: Sets that share a token make a crowd beyond this; rounds in which crowds are tied, and partners of a set in each.
-CROWD, ROUNDS, PARTNERS = 48, 6, 3
+#: Longs in a sketch, of 64 cells each.
+SKETCH = 8
+#: Sets that share a token make a crowd beyond this; rounds in which crowds are tied; neighbours that a set looks at for a
+#: partner in each place and round, and partners that are verified.
+CROWD, ROUNDS, NEIGHBOURS, PARTNERS = 48, 8, 8, 3
 #: Pairs for each set beyond which the likeliest are verified first.
 DENSE = 4
 #: Rows (of two longs) up to which a list is sent to all tasks.
@@ -64,6 +71,25 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each cell the parity of the number of tokens in it, as SKETCH longs."""
+    cells = (mix(tokens) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=64 * SKETCH).astype(np.uint8) & 1).tobytes()
+
+
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
+
+
+def _wanted(n: Column, other_n: Column, percent: int) -> Column:
+    """Tokens that sets of these sizes must share to be linked."""
+    return F.ceil((n + other_n).cast("long") * percent / F.lit(100 + percent)).cast("long")
+
+
+def _apart(sketches: list[Column], others: list[Column]) -> Column:
+    """Bits in which two sketches differ: no more than tokens in which the sets differ."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(sketches, others, strict=True)), F.lit(0))
+
+
 class Order:
     """A total order of tokens for each seed: frequent tokens last by their class, else by hash."""
 
@@ -87,7 +113,8 @@ class Order:
 
 
 def _survey(words: int):
-    """Rows (doc_id, n, set_id) for documents, (token, n) for tokens that are frequent in a lot."""
+    """Rows (doc_id, n, set_id, sketch) for documents, (token, n) for tokens that are frequent in a lot."""
+    names = ["doc_id", "n", "set_id", "token", *_SKETCH]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lot, held = WordHashes(), [], 0
@@ -96,20 +123,22 @@ def _survey(words: int):
             tokens, counts = np.unique(np.concatenate(lot), return_counts=True)
             often = counts >= LEAST
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(counts[often].astype(np.int64)), none, pa.array(tokens[often].view(np.int64))], ["doc_id", "n", "set_id", "token"])
+            return pa.RecordBatch.from_arrays([none, pa.array(counts[often].astype(np.int64)), none, pa.array(tokens[often].view(np.int64)), *[none] * SKETCH], names)
 
-        for batch in source:
-            sizes, ids = [], []
+        for batch in parts(source):
+            sizes, ids, sketches = [], [], []
             for text in utf8(batch.column(1)):
                 tokens = shingles(text, known, words)
                 sizes.append(len(tokens))
                 ids.append(set_id(tokens))
+                sketches.append(sketch(tokens))
                 lot.append(tokens)
                 held += len(tokens)
                 if held >= LOT:
                     yield counted()
                     lot, held = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(batch.num_rows, pa.int64())], ["doc_id", "n", "set_id", "token"])
+            columns = np.frombuffer(b"".join(sketches), np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), *(pa.array(columns[:, i].copy()) for i in range(SKETCH))], names)
         if lot:
             yield counted()
 
@@ -121,72 +150,69 @@ def _prefixes(order: Order, words: int, percent: int):
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = WordHashes(), set()
-        for batch in source:
-            for at in range(0, batch.num_rows, 256):
-                rows = []
-                for text in utf8(batch.column(0).slice(at, 256)):
-                    tokens = shingles(text, known, words)
-                    if not len(tokens) or (own := set_id(tokens)) in met:
-                        continue
-                    if len(met) >= 1_000_000:
-                        met.clear()
-                    met.add(own)
-                    prefix, classes = order.prefix(tokens, 0, prefix_size(len(tokens), percent))
-                    rows.append((prefix, classes > 0, own, len(tokens)))
-                if rows:
-                    sizes = [len(r[0]) for r in rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)),
-                            pa.array(np.repeat(np.array([r[2] for r in rows], np.int64), sizes)),
-                            pa.array(np.repeat(np.array([r[3] for r in rows], np.int32), sizes)),
-                            pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])),
-                            pa.array(np.concatenate([r[1] for r in rows])),
-                        ],
-                        ["token", "set_id", "n", "place", "frequent"],
-                    )
+        for batch in parts(source):
+            rows = []
+            for text in utf8(batch.column(0)):
+                tokens = shingles(text, known, words)
+                if not len(tokens) or (own := set_id(tokens)) in met:
+                    continue
+                if len(met) >= 200_000:
+                    met.clear()
+                met.add(own)
+                prefix, classes = order.prefix(tokens, 0, prefix_size(len(tokens), percent))
+                rows.append((prefix, classes > 0, own, len(tokens)))
+            if rows:
+                sizes = [len(r[0]) for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)),
+                        pa.array(np.repeat(np.array([r[2] for r in rows], np.int64), sizes)),
+                        pa.array(np.repeat(np.array([r[3] for r in rows], np.int32), sizes)),
+                        pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])),
+                        pa.array(np.concatenate([r[1] for r in rows])),
+                    ],
+                    ["token", "set_id", "n", "place", "frequent"],
+                )
 
     return batches
 
 
-def _sets(words: int):
-    """(set_id, tokens) for rows (set_id, text) whose text has that set, or any where set_id is null."""
+def _sets(words: int, order: Order, percent: int, more_orders: int):
+    """(set_id, tokens, firsts) for rows (set_id, text) whose text has that set, or any where set_id is null. firsts: an array
+    for each further order with the tokens of the set's prefix."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in source:
-            for at in range(0, batch.num_rows, 512):
-                found = {}
-                for wanted, text in zip(batch.column(0).slice(at, 512).to_pylist(), utf8(batch.column(1).slice(at, 512)), strict=True):
-                    tokens = shingles(text, known, words)
-                    # Rows that repeat a doc_id may hold other texts than that of the wanted set.
-                    if len(tokens) and wanted in (None, own := set_id(tokens)):
-                        found[own] = tokens.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["set_id", "tokens"])
+        for batch in parts(source):
+            found = {}
+            for wanted, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                tokens = shingles(text, known, words)
+                # Rows that repeat a doc_id may hold other texts than that of the wanted set.
+                if len(tokens) and wanted in (None, own := set_id(tokens)):
+                    found[own] = tokens
+            columns = [pa.array(list(found), pa.int64()), pa.array([t.tobytes() for t in found.values()], pa.binary())]
+            for seed in range(1, more_orders + 1):
+                firsts = [order.prefix(t, seed, prefix_size(len(t), percent))[0].view(np.int64) for t in found.values()]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts]))))
+            yield pa.RecordBatch.from_arrays(columns, ["set_id", "tokens", *(f"first{i}" for i in range(1, more_orders + 1))])
 
     return batches
 
 
-def _verified(order: Order, percent: int, more_orders: int):
-    """Keeps pairs (a, b) whose prefixes meet under all further orders and whose sets are similar. Rows come sorted by a."""
+def _verified(percent: int):
+    """Keeps pairs (a, b) whose sets are similar."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first, firsts = None, None, []
-
-        def prefixes(tokens: np.ndarray) -> list[np.ndarray]:
-            return [np.sort(order.prefix(tokens, seed, prefix_size(len(tokens), percent))[0]) for seed in range(1, more_orders + 1)]
-
+        last, first = None, None
         for batch in source:
             kept = []
             for i, (a, raw_a, raw_b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
                 if a != last:
                     last, first = a, np.frombuffer(raw_a.as_buffer(), np.uint64)
-                    firsts = prefixes(first)
                 second = np.frombuffer(raw_b.as_buffer(), np.uint64)
-                if all(len(np.intersect1d(x, y, True)) for x, y in zip(firsts, prefixes(second), strict=True)):
-                    shared = len(np.intersect1d(first, second, True))
-                    if 100 * shared >= percent * (len(first) + len(second) - shared):
-                        kept.append(i)
+                shared = len(np.intersect1d(first, second, True))
+                if 100 * shared >= percent * (len(first) + len(second) - shared):
+                    kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return batches
@@ -210,8 +236,8 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
     """(documents, families). documents: doc_id, n, set_id for each row. families: node, root for each set that is linked with
     another set; two sets are in one family exactly if links of the given similarity lead from one to the other."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = materialize(texts.mapInArrow(_survey(words), "doc_id long, n long, set_id long, token long"), "join-survey")
-    documents = survey.filter("set_id is not null").select("doc_id", "n", "set_id")
+    survey = materialize(texts.mapInArrow(_survey(words), "doc_id long, n long, set_id long, token long, " + ", ".join(f"{s} long" for s in _SKETCH)), "join-survey")
+    documents = survey.filter("set_id is not null").select("doc_id", "n", "set_id", *_SKETCH)
     order = _frequent(survey.filter("token is not null").select("token", "n"), frequent)
 
     rows = texts.select("text").mapInArrow(_prefixes(order, words, percent), "token long, set_id long, n int, place int, frequent boolean")
@@ -219,23 +245,27 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
     together = W.partitionBy("token", "salt")
     several = salted.withColumn("least", F.min("set_id").over(together)).withColumn("most", F.max("set_id").over(together)).filter("frequent or least <> most")
     shared = materialize(several.select("token", "set_id", "n", "place").distinct(), "join-shared")
+    needed = materialize(shared.select("set_id").distinct(), "join-partners")
+    sketches = documents.filter("n > 0").join(needed, "set_id", "left_semi").groupBy("set_id").agg(*(F.max(s).alias(s) for s in _SKETCH))
+    shared = materialize(shared.join(materialize(sketches, "join-sketches"), "set_id"), "join-shared")
 
     families = _tie_crowds(shared, texts, documents, order, words, percent, more_orders)
     pairs = _pairs(shared, families, percent)
-    sets = _sets_of(pairs, texts, documents, words)
+    sets = _sets_of(pairs, texts, documents, order, words, percent, more_orders)
+    pairs = materialize(_met(pairs, sets, more_orders), "join-pairs")
     for _ in range(ROUNDS):
         # Where sets have many partners, the likeliest are verified first; pairs that this brings into one family need no look.
         if pairs.count() <= DENSE * sets.count():
             break
-        likely = F.col("c").desc()
+        likely = F.col("apart")
         ranks = pairs.withColumn("of_a", F.row_number().over(W.partitionBy("a").orderBy(likely, "b"))).withColumn("of_b", F.row_number().over(W.partitionBy("b").orderBy(likely, "a")))
         ranks = materialize(ranks.withColumn("first", (F.col("of_a") <= PARTNERS) | (F.col("of_b") <= PARTNERS)).drop("of_a", "of_b"), "join-ranks")
-        families = _joined(families, _check(ranks.filter("first"), sets, order, percent, more_orders))
+        families = _joined(families, _check(ranks.filter("first"), sets, percent))
         pairs = ranks.filter("not first").drop("first")
         for side in ("a", "b"):
             pairs = pairs.join(families.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-        pairs = materialize(pairs.filter("root_a <> root_b").select("a", "b", "c"), "join-pairs")
-    return documents, _joined(families, _check(pairs, sets, order, percent, more_orders))
+        pairs = materialize(pairs.filter("root_a <> root_b").select("a", "b", "apart"), "join-pairs")
+    return documents.select("doc_id", "n", "set_id"), _joined(families, _check(pairs, sets, percent))
 
 
 def _joined(families: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -269,27 +299,32 @@ def _tie_crowds(shared: DataFrame, texts: DataFrame, documents: DataFrame, order
         mixed = owned.groupBy("token").agg(F.approx_count_distinct("root", 0.1).alias("kinds")).filter(F.col("kinds") > CROWD).select("token")
         owned = owned.join(materialize(mixed, "join-mixed"), "token", "left_semi")
         shuffled = W.partitionBy("token", F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(SALTS))).orderBy(F.xxhash64("set_id", "token", F.lit(turn)))
-        met = owned.select(F.col("set_id").alias("a"), "root", F.lag(F.struct("set_id", "root", "n")).over(shuffled).alias("other"), "n")
-        met = met.filter((F.col("root") != F.col("other.root")) & (F.least("n", "other.n") * 100 >= F.greatest("n", "other.n") * percent))
-        counted = met.groupBy("a", F.col("other.set_id").alias("b")).agg(F.count("*").alias("times"))
-        nth = F.row_number().over(W.partitionBy("a").orderBy(F.desc("times"), F.xxhash64("b", F.lit(turn))))
-        pairs = materialize(counted.withColumn("nth", nth).filter(F.col("nth") <= PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
+        others = [f"other{i}" for i in range(NEIGHBOURS)]
+        met = owned.select("set_id", "root", "n", *_SKETCH, *(F.lag(F.struct("set_id", "root", "n", *_SKETCH), i + 1).over(shuffled).alias(o) for i, o in enumerate(others)))
+        likely = []
+        for other in others:
+            apart = _apart([F.col(s) for s in _SKETCH], [F.col(f"{other}.{s}") for s in _SKETCH])
+            able = (F.col("root") != F.col(f"{other}.root")) & (apart <= F.col("n") + F.col(f"{other}.n") - 2 * _wanted(F.col("n"), F.col(f"{other}.n"), percent))
+            likely.append(F.when(able, F.struct(apart.alias("apart"), F.col(f"{other}.set_id").alias("b"))))
+        met = met.select(F.col("set_id").alias("a"), F.least(*likely).alias("best")).filter("best is not null").groupBy("a", F.col("best.b").alias("b")).agg(F.min("best.apart").alias("apart"))
+        nth = F.row_number().over(W.partitionBy("a").orderBy("apart", F.xxhash64("b", F.lit(turn))))
+        pairs = met.withColumn("nth", nth).filter(F.col("nth") <= PARTNERS)
+        pairs = materialize(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("apart").alias("apart")), "join-pairs")
         if pairs.isEmpty():
             break
         if sets is None:
-            sets = _sets_of(rows.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")), texts, documents, words)
-        links = materialize(_check(pairs, sets, order, percent, more_orders), "join-links")
+            sets = _sets_of(rows.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")), texts, documents, order, words, percent, more_orders)
+        links = materialize(_check(_met(pairs, sets, more_orders), sets, percent), "join-links")
         found = links.count()
         if not found:
             break
         families = _joined(families, links)
-        if found * 20 < pairs.count():  # what is left is for the exact step
-            break
     return families
 
 
 def _pairs(shared: DataFrame, families: DataFrame | None, percent: int) -> DataFrame:
-    """All pairs (a, b, c) of sets of different families that can be similar by what their prefixes share.
+    """All pairs (a, b, apart) of sets of different families that can be similar by their sketches, by what their prefixes
+    share and by where; apart: bits in which the sketches differ.
 
     Let c be the number of shared prefix tokens and w the earlier of the two prefixes' last tokens. Up to w the sets share
     just these c tokens; beyond w the set whose prefix ends there has ceil(t n) - 1 tokens left. So their intersection is at
@@ -298,35 +333,49 @@ def _pairs(shared: DataFrame, families: DataFrame | None, percent: int) -> DataF
     owned = materialize(_owned(shared, families), "join-owned")
     mixed = owned.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("token")
     left = owned.join(materialize(mixed, "join-mixed"), "token", "left_semi")
-    right = left.select("token", *(F.col(c).alias(f"other_{c}") for c in ("set_id", "n", "place", "root")))
+    right = left.select("token", *(F.col(c).alias(f"other_{c}") for c in ("set_id", "n", "place", "root", *_SKETCH)))
     beyond = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
-    # From a shared token on, and from the first one on for each similar pair, no more tokens can be shared than either has left.
-    near = (F.col("root") < F.col("other_root")) & (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent)
-    both = left.join(right, (left["token"] == right["token"]) & near).select(F.least("set_id", "other_set_id").alias("a"), F.greatest("set_id", "other_set_id").alias("b"), F.col("n").cast("long").alias("n"), F.col("other_n").cast("long").alias("other_n"), beyond.alias("beyond"))
-    counted = both.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("beyond").alias("beyond"), F.least(F.first("n"), F.first("other_n")).alias("small"), F.greatest(F.first("n"), F.first("other_n")).alias("large"))
-    wanted = F.expr(f"({percent} * (small + large) + {99 + percent}) div {100 + percent}")
+    wanted = _wanted(F.col("n"), F.col("other_n"), percent)
+    apart = _apart([F.col(s) for s in _SKETCH], [F.col(f"other_{s}") for s in _SKETCH])
+    near = (F.col("root") < F.col("other_root")) & (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (apart <= F.col("n") + F.col("other_n") - 2 * wanted)
+    both = left.join(right, (left["token"] == right["token"]) & near)
+    both = both.select(F.least("set_id", "other_set_id").alias("a"), F.greatest("set_id", "other_set_id").alias("b"), F.greatest("n", "other_n").cast("long").alias("large"), wanted.alias("wanted"), beyond.alias("beyond"), apart.alias("apart"))
+    counted = both.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("beyond").alias("beyond"), F.first("large").alias("large"), F.first("wanted").alias("wanted"), F.first("apart").alias("apart"))
     left_over = F.expr(f"({percent} * large + 99) div 100 - 1")
-    return materialize(counted.filter((F.col("c") + left_over >= wanted) & (F.col("beyond") >= wanted)).select("a", "b", "c"), "join-pairs")
+    # From a shared token on, and from the first one on for each similar pair, no more tokens can be shared than either has left.
+    return materialize(counted.filter((F.col("c") + left_over >= F.col("wanted")) & (F.col("beyond") >= F.col("wanted"))).select("a", "b", "apart"), "join-pairs")
 
 
-def _sets_of(pairs: DataFrame, texts: DataFrame, documents: DataFrame, words: int) -> DataFrame:
-    """set_id, tokens of all sets in pairs, read once more from one document of each."""
+def _sets_of(pairs: DataFrame, texts: DataFrame, documents: DataFrame, order: Order, words: int, percent: int, more_orders: int) -> DataFrame:
+    """set_id, tokens, and prefixes under further orders, of all sets in pairs; read once more from one document of each."""
+    schema = "set_id long, tokens binary" + "".join(f", first{i} array<long>" for i in range(1, more_orders + 1))
+    read = _sets(words, order, percent, more_orders)
     needed = materialize(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "join-needed")
-    chosen = materialize(documents.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "join-chosen")
+    chosen = materialize(documents.select("doc_id", "set_id").join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "join-chosen")
     # A list of up to SMALL ids goes to all tasks; a longer one is joined by dealing out the texts.
     few = F.broadcast(chosen) if chosen.count() <= SMALL else chosen
-    named = texts.join(few, "doc_id").select("set_id", "text").mapInArrow(_sets(words), "set_id long, tokens binary")
+    named = texts.join(few, "doc_id").select("set_id", "text").mapInArrow(read, schema)
     # Sets of documents without a doc_id, which no join by doc_id reaches.
-    nameless = texts.filter("doc_id is null").select(F.lit(None).cast("long").alias("set_id"), "text").mapInArrow(_sets(words), "set_id long, tokens binary")
+    nameless = texts.filter("doc_id is null").select(F.lit(None).cast("long").alias("set_id"), "text").mapInArrow(read, schema)
     sets = materialize(named.union(nameless.join(needed, "set_id", "left_semi")), "join-sets")
-    return materialize(sets.groupBy("set_id").agg(F.max("tokens").alias("tokens")), "join-set")
+    return materialize(sets.dropDuplicates(["set_id"]), "join-set")
+
 
+def _met(pairs: DataFrame, sets: DataFrame, more_orders: int) -> DataFrame:
+    """The pairs whose prefixes meet under all further orders; just these prefixes are read."""
+    firsts = [f"first{i}" for i in range(1, more_orders + 1)]
+    of_a = pairs.join(sets.select(F.col("set_id").alias("a"), *(F.col(f).alias(f"{f}_a") for f in firsts)), "a")
+    of_b = of_a.join(sets.select(F.col("set_id").alias("b"), *(F.col(f).alias(f"{f}_b") for f in firsts)), "b")
+    for f in firsts:
+        of_b = of_b.filter(F.arrays_overlap(f"{f}_a", f"{f}_b"))
+    return of_b.select(pairs.columns)
 
-def _check(pairs: DataFrame, sets: DataFrame, order: Order, percent: int, more_orders: int) -> DataFrame:
+
+def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that hold."""
     of_a = pairs.select("a", "b").join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     of_b = of_a.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    return of_b.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified(order, percent, more_orders), "a long, b long")
+    return of_b.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, more_orders: int = MORE_ORDERS) -> DataFrame:
@@ -405,7 +454,8 @@ def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fre
     sizes = banded.groupBy("root", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
     sizes = materialize(sizes, "join-sizes")
     placed = banded.join(sizes, ["root", "band"]).select("set_id", "many", "root", "band", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"))
-    sets = _sets_of(families.select(F.col("node").alias("a"), F.col("node").alias("b")), texts, documents, words)
+    order = Order(np.empty(0, np.uint64), np.empty(0, np.uint8))
+    sets = _sets_of(families.select(F.col("node").alias("a"), F.col("node").alias("b")), texts, documents, order, words, percent, 0)
     blocks = placed.join(sets, "set_id").groupBy("root", "band", "block").agg(F.collect_list(F.struct("set_id", "many", "tokens")).alias("sets"))
     blocks = materialize(blocks, "join-blocks")
 
@@ -432,7 +482,7 @@ def _with_set_id(words: int):
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in source:
+        for batch in parts(source):
             found = [shingles(text, known, words) for text in utf8(batch.columns[-1])]
             ids = pa.array([set_id(tokens) if len(tokens) else None for tokens in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "_set_id"])
