@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+#: Parts and pairs of pieces that a worker remembers, each; what is beyond is worked out again.
+REMEMBERED = 100_000
 _INF = float("inf")
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -204,7 +206,7 @@ class Transducer:
                     free = pairs.get((before, piece))
                     if free is None:
                         free = self.spine(piece)[0] and self.adjacent(before, piece)
-                        if len(pairs) >= 600_000:
+                        if len(pairs) >= REMEMBERED:
                             pairs.clear()
                         pairs[before, piece] = free
                     if not free:
@@ -256,7 +258,7 @@ class Transducer:
         ids = self.path(part)
         found = struct.pack(f"<{len(ids)}i", *ids)
         if len(part) <= 48:
-            if len(self.cache) >= 600_000:
+            if len(self.cache) >= REMEMBERED:
                 self.cache.clear()
             self.cache[part] = found
         return found
@@ -299,8 +301,8 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) ->
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = compiled(model_path)
         for batch in source:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows: list[tuple] = []
                 lists: list[np.ndarray] = []
                 for text in part.column(1).to_pylist():

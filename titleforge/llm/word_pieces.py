@@ -83,7 +83,7 @@ class LongestMatch:
 class _Counts(dict):
     """Counts of words met before; bounded."""
 
-    LIMIT = 600_000
+    LIMIT = 100_000
 
     def __init__(self, automaton: LongestMatch) -> None:
         self.automaton = automaton
