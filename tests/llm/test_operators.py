@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -175,6 +176,64 @@ def test_personal_data_disguised_in_part(spark):
     assert [r.n_added for r in sorted(rows)] == [1, 1, 1, 1]
 
 
+def test_added_spans_by_brute_force():
+    """Letter by letter: each output letter carries its source span, and each transducer rewrites one match after another."""
+    cell = r"[^\W_]"
+    words = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "oh": "0"}
+    digit = "(?:" + "|".join(words) + ")"
+    open_, close = r"[\[({<]", r"[\])}>]"
+
+    def replaced(tape, pattern, put):
+        text, out, at = "".join(c for c, _, _ in tape), [], 0
+        for m in re.finditer(pattern, text, re.IGNORECASE):
+            new = put(m, text, tape)
+            if new is None:
+                continue
+            out += tape[at : m.start()] + [(c, tape[m.start()][1], tape[m.end() - 1][2]) for c in new]
+            at = m.end()
+        return out + tape[at:]
+
+    def brute(source):
+        tape = [(c, i, i + 1) for i, c in enumerate(source)]
+        tape = [(p, b, e) for c, b, e in tape for p in [{"о": "o", "а": "a", "１": "1", "\u200b": ""}.get(c, c)] if p]
+        signs = {"dot": ".", "point": ".", "plus": "+", "dash": "-"}
+        tape = replaced(tape, rf"(?<!{cell})(?:plus[\s,-]+)?{digit}(?:[\s,-]+(?:(?:dot|point|plus|dash)[\s,-]+)?{digit}){{3,}}(?!{cell})", lambda m, *_: "".join(words.get(w.lower()) or signs[w.lower()] for w in re.findall("[A-Za-z]+", m[0])))
+        tape = replaced(tape, rf"\s*{open_}\s*(at|@|dot|\.)\s*{close}\s*", lambda m, *_: "@" if m[1].lower() in ("at", "@") else ".")
+        tape = replaced(tape, r"(?<=[A-Za-z0-9])\s+(?:at|@)\s+(?=[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+|\.)[A-Za-z]{2})", lambda *_: "@")
+        while True:  # a dot that goes on a domain, or the local part before a disguised sign
+            text = "".join(c for c, _, _ in tape)
+            found = [m for m in re.finditer(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", text)]
+            for m in found:
+                after = re.match(r"(?:[A-Za-z0-9._%+-]|\s+dot\s+(?=[A-Za-z0-9]))*@", text[m.end() :])
+                disguised = after and source[slice(*tape[m.end() + after.end() - 1][1:])] != "@"
+                if re.search(r"@[A-Za-z0-9.-]+$", text[: m.start()]) and re.match("[A-Za-z]{2}", text[m.end() :]) or disguised:
+                    tape = tape[: m.start()] + [(".", tape[m.start()][1], tape[m.end() - 1][2])] + tape[m.end() :]
+                    break
+            else:
+                break
+        text = "".join(c for c, _, _ in tape)
+        spans = set()
+        for kind, start, end in pii.find(text):
+            begin, stop = tape[start][1], tape[end - 1][2]
+            if source[begin:stop] != text[start:end]:
+                spans.add((kind, begin, stop))
+        return spans | {tuple(s) for s in pii.find(source)}
+
+    parts = ["john", "b", "о", "а", "mail", "com", "de", "@", " at ", " dot ", " [at] ", "(dot)", " [ . ] ", ".", " ", "  ", "\u200b", "one ", "two ", "five, ", "plus ", "nine", "１", "12", "+1", "-"]
+    for _ in range(6000):
+        text = "".join(RNG.choice(parts) for _ in range(RNG.randint(1, 14)))
+        assert {tuple(s) for s in pii.spans_of(text)[1]} == brute(text), text
+
+
+def test_personal_data_in_linear_time():
+    n = 10**6
+    for text in (" " * n + "[at] x.com", "a" + " " * n + "at b.com", "[" + " " * n + "at]x", "[ " * (n // 2), "one" + " " * n + "two" + " " * n + "x"):
+        began = time.process_time()
+        pii.spans_of(text)
+        assert time.process_time() - began < 5
+    assert [s.kind for s in pii.spans_of("john" + " " * 10 + "[at" + " " * 10 + "]example.com")[1]] == ["email"]
+
+
 def test_personal_data_with_spelled_signs():
     for found in (
         "john at example.com",

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -93,11 +95,13 @@ _SIGN_WORD = "(?:dot|point|plus|dash)"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s,-]+)?{_DIGIT_WORD}(?:[\s,-]+(?:{_SIGN_WORD}[\s,-]+)?{_DIGIT_WORD}){{3,}}(?![^\W_])", re.IGNORECASE)
 _SIGNS = {"dot": ".", "point": ".", "plus": "+", "dash": "-"}
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_BRACKETED = re.compile(rf"\s*{_OPEN}\s*(at|@|dot|\.)\s*{_CLOSE}\s*", re.IGNORECASE)
-_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s+(?:at|@)\s+(?=[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+|\.)[A-Za-z]{2,})", re.IGNORECASE)
-_SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z]{2,})", re.IGNORECASE)
-_LOCAL_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.IGNORECASE)
-_HINT = re.compile(r"[\[({<]\s{0,8}(?:at|dot|@|\.)\s{0,8}[\])}>]|\sdot\s|\s(?:at|@)\s++[a-z0-9-]++\.[a-z0-9]", re.IGNORECASE)
+# Runs of blanks are possessive and start right after a letter, a digit or a bracket, so that each blank is read a bounded
+# number of times; blanks before a bracket are added by _bracketed.
+_BRACKETED = re.compile(rf"{_OPEN}\s*+(at|@|dot|\.)\s*+{_CLOSE}\s*+", re.IGNORECASE)
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s++(?:at|@)\s++(?=[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)(?![A-Za-z]{2})[A-Za-z0-9-]++)*+(?:\s++dot\s++|\.)[A-Za-z]{2})", re.IGNORECASE)
+_SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s++dot\s++(?=[A-Za-z]{2,})", re.IGNORECASE)
+_LOCAL_DOT = re.compile(r"(?<=[A-Za-z0-9])\s++dot\s++(?=[A-Za-z0-9])", re.IGNORECASE)
+_HINT = re.compile(rf"{_OPEN}\s*+(?:at|dot|@|\.)\s*+{_CLOSE}|\sdot\s|\s(?:at|@)\s++[a-z0-9-]++\.[a-z0-9]", re.IGNORECASE)
 
 
 class Tape:
@@ -159,6 +163,17 @@ def _unspell(words: str) -> str:
     return "".join(out)
 
 
+def _bracketed(text: str) -> list[tuple[int, int, str]]:
+    """Edits for signs in brackets, with the blanks on either side."""
+    edits: list[tuple[int, int, str]] = []
+    for m in _BRACKETED.finditer(text):
+        begin, free = m.start(), edits[-1][1] if edits else 0
+        while begin > free and text[begin - 1].isspace():
+            begin -= 1
+        edits.append((begin, m.end(), "@" if m[1].lower() in ("at", "@") else "."))
+    return edits
+
+
 def deobfuscate(text: str) -> Tape | None:
     """The normalised tape; None if the text has nothing that any of the transducers rewrites."""
     odd = not text.isascii() and _ODD.search(text)
@@ -172,7 +187,7 @@ def deobfuscate(text: str) -> Tape | None:
     if spelled or odd:
         tape = tape.rewrite([(m.start(), m.end(), _unspell(m[0])) for m in _SPELLED.finditer(tape.text)])
     if hint or odd:
-        tape = tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(tape.text)])
+        tape = tape.rewrite(_bracketed(tape.text))
         tape = tape.rewrite([(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(tape.text)])
         signs = [m.end() for m in re.finditer(r"@[A-Za-z0-9.-]+", tape.text)]
         edits = []
@@ -227,7 +242,7 @@ def find_documents(docs: DataFrame) -> DataFrame:
     """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in parts(source):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = spans_of(text or "")
@@ -258,13 +273,9 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data in text replaced by its kind; all columns and rows stay. Null text stays null."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in parts(source):
             at = batch.schema.get_field_index("text")
             texts = pa.array([None if t is None else redacted(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
     return docs.mapInArrow(batches, docs.schema)
-
-
-#: Base findings in SQL can't drop failing matches without retries over offsets; the brute-force version is in the tests.
-ORACLE = None
