@@ -293,13 +293,16 @@ def test_vector_search(spark):
     rows = [(i, rng.normal(size=6).tolist(), "x") for i in range(300)] + [(1000 + i, [0.5] * 6, "x") for i in range(40)]
     rows += [(2000, None, "x"), (2050, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x"), (2100, [float("nan")] * 6, "x"), (2150, [float("inf")] * 6, "x"), (2200, [], "x"), (2250, [1.0, 2.0], "x"), (None, [1.0] * 6, "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    good = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q in good:
+    rows += [(50, rng.normal(size=6).tolist(), "x"), rows[7], (7, rng.normal(size=6).tolist(), "x"), rows[100]]  # ids and rows that repeat
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(5)
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for at, (q, own) in enumerate(good):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
-            want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
-    assert {tuple(r) for r in va_search.top_products(table, block=64, query_block=3).collect()} == want
+            best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for j, (i, v) in enumerate(good) if j != at and len(v) == len(own))[:5]
+            want.update((q, rank, i, -s) for rank, (s, i) in enumerate(best, 1))
+    assert Counter(tuple(r) for r in va_search.top_products(table, sent=200).collect()) == want
+    assert Counter(tuple(r) for r in va_search.top_products(table).collect()) == want
     assert va_search.top_products(table.limit(0)).count() == 0
 
 

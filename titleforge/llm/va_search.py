@@ -1,6 +1,6 @@
 """Operator 4: exact top-k search with vector-approximation files.
 
-Each block of vectors has an approximation file: a byte for each component, its cell between the block's least and greatest
+Each lot of vectors has an approximation file: a byte for each component, its cell between the lot's least and greatest
 value. Scanning the cells bounds every inner product from both sides. A vector stays only if its upper bound reaches the kth
 best lower bound; exact vectors are then read in order of their bounds until the kth result is certain.
 """
@@ -20,27 +20,28 @@ from .common import materialize
 TOP = 5
 #: Every how manieth vec_id is a query.
 EVERY = 50
-#: Vectors in an approximation file, queries in a block, cells of a component.
-BLOCK, QUERY_BLOCK, CELLS = 4096, 512, 256
+#: Vectors in an approximation file at most, bytes of queries that are sent to all tasks at once, cells of a component.
+BLOCK, SENT, CELLS = 4096, 16_000_000, 256
 
 
-def _approximate(keys: tuple, frame) -> object:
-    """The approximation file of a block, as one row."""
-    import pandas as pd
+def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-    frame = frame.sort_values("vec_id")
-    values = np.stack(frame["v"].to_numpy())
-    low, high = values.min(0), values.max(0)
-    step = np.maximum((high - low) / CELLS, np.finfo(np.float64).tiny)
-    cells = np.clip(np.floor((values - low) / step), 0, CELLS - 1).astype(np.uint8)
-    return pd.DataFrame({"dim": [keys[0]], "block": [keys[1]], "ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "cells": [cells.tobytes()], "low": [low.tobytes()], "step": [step.tobytes()]})
 
-
-def _pack(keys: tuple, frame) -> object:
-    import pandas as pd
-
-    values = np.stack(frame["v"].to_numpy()).astype(np.float64)
-    return pd.DataFrame({"dim": [keys[0]], "query_block": [keys[1]], "query_ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "queries": [values.tobytes()]})
+def _approximate(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An approximation file, as one row, for each lot of up to BLOCK vectors (row, vec_id, v) of one length; made where they lie."""
+    for batch in source:
+        dims = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == dim)
+            for at in range(0, len(own), BLOCK):
+                part = batch.take(pa.array(own[at : at + BLOCK]))
+                values = _matrix(part.column(2), dim)
+                low, high = values.min(0), values.max(0)
+                step = np.maximum((high - low) / CELLS, np.finfo(np.float64).tiny)
+                cells = np.clip(np.floor((values - low) / step), 0, CELLS - 1).astype(np.uint8)
+                packed = [[dim], *([x.tobytes()] for x in (part.column(0).to_numpy(), cells, low, step))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(packed, [pa.int32()] + [pa.binary()] * 4, strict=True)], ["dim", "rows", "cells", "low", "step"])
 
 
 def bounds(cells: np.ndarray, low: np.ndarray, step: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,18 +56,28 @@ def bounds(cells: np.ndarray, low: np.ndarray, step: np.ndarray, queries: np.nda
     return lower - loose, upper + loose
 
 
-def _scan(top: int):
+def _scan(top: int, asked: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """asked: by length the rows and vectors of queries. (query_row, row, lower, upper) of what can be among a query's best; a
+    task carries each query's kth lower bound from one file to the next."""
+
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {dim: np.full((len(rows), top), -np.inf) for dim, (rows, _) in asked.items()}
         for batch in source:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
-                lower, upper = bounds(np.frombuffer(row["cells"], np.uint8).reshape(-1, dim), np.frombuffer(row["low"]), np.frombuffer(row["step"]), np.frombuffer(row["queries"]).reshape(-1, dim))
-                own = query_ids[:, None] == ids[None, :]
-                lower[own], upper[own] = -np.inf, -np.inf
-                least = np.partition(lower, len(ids) - top, axis=1)[:, len(ids) - top] if len(ids) > top else np.full(len(query_ids), -np.inf)
-                q, v = np.nonzero((upper >= least[:, None]) & ~own)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[v]), pa.array(lower[q, v]), pa.array(upper[q, v])], ["query_id", "vec_id", "lower", "upper"])
+            for i in range(batch.num_rows):
+                dim = batch.column(0)[i].as_py()
+                if dim not in asked:
+                    continue
+                query_rows, queries = asked[dim]
+                rows, cells, low, step = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, np.int64), (2, np.uint8), (3, np.float64), (4, np.float64)))
+                for at in range(0, len(query_rows), 512):
+                    part = slice(at, at + 512)
+                    lower, upper = bounds(cells.reshape(-1, dim), low, step, queries[part])
+                    own = query_rows[part, None] == rows[None, :]
+                    lower[own], upper[own] = -np.inf, -np.inf
+                    together = np.concatenate([best[dim][part], lower], axis=1)
+                    best[dim][part] = np.partition(together, together.shape[1] - top, axis=1)[:, -top:]
+                    q, v = np.nonzero((upper >= best[dim][part].min(1)[:, None]) & ~own)
+                    yield pa.RecordBatch.from_arrays([pa.array(query_rows[part][q]), pa.array(rows[v]), pa.array(lower[q, v]), pa.array(upper[q, v])], ["query_row", "row", "lower", "upper"])
 
     return batches
 
@@ -82,23 +93,23 @@ def _verify(top: int):
     """Rows come sorted by query and falling upper bound."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, best, vector = None, [], None
+        current, best, vector, name = None, [], None, None
 
         def done() -> pa.RecordBatch:
-            rows = [(current, rank, i, s) for rank, (s, i) in enumerate(((-a, b) for a, b in best), 1)]
+            rows = [(name, rank, i, -s) for rank, (s, i, _) in enumerate(best, 1)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["query_id", "rank", "vec_id", "score"])
 
         for batch in source:
-            query_ids, vec_ids, uppers = (batch.column(i).to_pylist() for i in range(3))
-            vectors, queries = batch.column(3), batch.column(4)
-            for i, query in enumerate(query_ids):
+            query_rows, query_ids, rows, vec_ids, uppers = (batch.column(i).to_pylist() for i in range(5))
+            vectors, queries = batch.column(5), batch.column(6)
+            for i, query in enumerate(query_rows):
                 if query != current:
                     if best:
                         yield done()
-                    current, best, vector = query, [], np.array(queries[i].as_py())
+                    current, best, vector, name = query, [], np.array(queries[i].as_py()), query_ids[i]
                 if len(best) == top and -best[-1][0] > uppers[i]:
                     continue  # certain: no later bound of this query is higher
-                item = (-_product(vector, np.array(vectors[i].as_py())), vec_ids[i])
+                item = (-_product(vector, np.array(vectors[i].as_py())), vec_ids[i], rows[i])
                 if len(best) < top or item < best[-1]:
                     best = sorted([*best, item])[:top]
         if best:
@@ -107,51 +118,71 @@ def _verify(top: int):
     return batches
 
 
-def top_products(embeddings: DataFrame, top: int = TOP, every: int = EVERY, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _asked(queries: DataFrame, sent: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The queries by length, so many at once that they are of `sent` bytes at most (one query at least)."""
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("v") + 8), F.lit(0))).first()[0]
+    lots = -(-2 * size // sent)  # so that lots dealt by hash stay near half of what may be sent
+    for lot in range(lots):
+        table = queries.filter(F.pmod(F.xxhash64("row"), F.lit(lots)) == lot).select("row", "v").toArrow().combine_chunks()
+        rows, vectors = table["row"].to_numpy(), table["v"].combine_chunks()
+        dims = vectors.value_lengths().to_numpy(zero_copy_only=False) if len(rows) else np.empty(0, int)
+        at = 0
+        while at < len(rows):
+            until = at + max(1, int(np.searchsorted(np.cumsum(8 * dims[at:] + 8), sent, "right")))
+            part = np.arange(at, until)
+            of = {dim: part[dims[part] == dim] for dim in np.unique(dims[part]).tolist()}
+            yield {dim: (rows[own], _matrix(vectors.take(pa.array(own)), dim)) for dim, own in of.items()}
+            at = until
+
+
+def top_products(embeddings: DataFrame, top: int = TOP, every: int = EVERY, sent: int = SENT) -> DataFrame:
     """Returns for each query (a row whose vec_id is divisible by `every`) its `top` highest inner products with other rows:
     query_id, rank (from 1), vec_id, score. Components x count as floor(256 x); ties go to the smaller vec_id.
 
     Vectors that are null or empty, hold null or non-finite components, or have no id take no part; only vectors of equal
-    length are compared. Of equal vectors only the top + 1 smallest ids are candidates, since larger ones can't come before
-    them, so a very common vector costs no more than others. A query with fewer partners gets fewer rows, one without
+    length are compared. Rows that repeat an id, or a whole row, are rows of their own: each is a query if its id says so, and
+    a candidate for all others. Of equal vectors only the top + 1 smallest ids are candidates, since larger ones can't come
+    before them, so a very common vector costs no more than others. A query with fewer partners gets fewer rows, one without
     partners none. Scores beyond 64 bits are cut to them. Other columns are ignored.
 
-    Blocks meet in an equi-join of (file, query block); both sides are packed rows of bounded size.
+    Approximation files stay where their vectors lie. Queries are sent to them in lots of at most `sent` bytes, one after another.
     """
     spark = embeddings.sparkSession
     whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.col("vec_id").isNotNull()
     wide = F.transform("embedding", lambda x: x.cast("double") * 256)
     scaled = embeddings.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(wide, lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)).alias("v"))
-    vectors = materialize(scaled.dropDuplicates().withColumn("dim", F.size("v")), "va-vectors")
-    nth = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
+    # Written with the number, which tells rows apart from here on.
+    vectors = materialize(scaled.withColumn("row", F.monotonically_increasing_id()), "va-vectors").select("row", "vec_id", "v")
+    nth = F.row_number().over(W.partitionBy("v").orderBy("vec_id", "row"))
     candidates = materialize(vectors.withColumn("nth", nth).filter(F.col("nth") <= top + 1).drop("nth"), "va-candidates")
     queries = vectors.filter(F.col("vec_id") % every == 0)
 
-    blocks = max(1, -(-candidates.count() // block))
-    query_blocks = max(1, -(-queries.count() // query_block))
-    files = candidates.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(_approximate, "dim int, block int, ids binary, cells binary, low binary, step binary")
-    packed = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")).groupBy("dim", "query_block").applyInPandas(_pack, "dim int, query_block int, query_ids binary, queries binary")
-    pairs = files.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["dim", "block", "query_block"])
-    found = materialize(pairs.select("dim", "ids", "cells", "low", "step", "query_ids", "queries").mapInArrow(_scan(top), "query_id long, vec_id long, lower double, upper double"), "va-found")
-    ranked = found.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("lower")))).filter(F.col("nth") <= top)
-    least = ranked.groupBy("query_id").agg(F.when(F.count("*") == top, F.min("lower")).otherwise(F.lit(float("-inf"))).alias("least"))
-    kept = found.join(least, "query_id").filter(F.col("upper") >= F.col("least")).select("query_id", "vec_id", "upper")
-    # A repeated id with different vectors is several rows; they meet only within their own length.
-    kept = kept.join(candidates.select("vec_id", "v", "dim"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim"), ["query_id", "dim"])
+    files = materialize(candidates.mapInArrow(_approximate, "dim int, rows binary, cells binary, low binary, step binary"), "va-files")
+    schema = "query_row long, row long, lower double, upper double"
+    found = None
+    for asked in _asked(queries, sent):
+        more = materialize(files.mapInArrow(_scan(top, asked), schema), "va-found")
+        found = more if found is None else found.union(more)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    ranked = found.withColumn("nth", F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("lower")))).filter(F.col("nth") <= top)
+    least = ranked.groupBy("query_row").agg(F.when(F.count("*") == top, F.min("lower")).otherwise(F.lit(float("-inf"))).alias("least"))
+    kept = found.join(least, "query_row").filter(F.col("upper") >= F.col("least")).select("query_row", "row", "upper")
+    kept = kept.join(candidates, "row").join(queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_row")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = kept.select("query_id", "vec_id", "upper", "v", "q").repartition(parts, "query_id").sortWithinPartitions("query_id", F.desc("upper"), "vec_id")
+    ordered = kept.select("query_row", "query_id", "row", "vec_id", "upper", "v", "q").repartition(parts, "query_row").sortWithinPartitions("query_row", F.desc("upper"), "vec_id", "row")
     return ordered.mapInArrow(_verify(top), "query_id long, rank int, vec_id long, score long")
 
 
 #: The same in SQL for DuckDB, over the table embeddings.
 ORACLE = f"""
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % {EVERY} = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % {EVERY} = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= {TOP}
 """
