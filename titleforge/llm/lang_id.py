@@ -26,10 +26,15 @@ SAMPLE, LANDMARKS = 1600, 160
 RIDGE = 1e-3
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _LATIN = np.array([c if chr(c).isalpha() else 32 for c in range(0x250)], np.uint32)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; numerals such as a superscript two or a half are none."""
+    return text is not None and any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def presence(texts: list[str]) -> np.ndarray:
     """A row of 0 and 1 for each text: which hashed n-grams of its lower-case letters it has."""
     found = np.zeros((len(texts), FEATURES), np.float32)
@@ -52,7 +57,8 @@ def presence(texts: list[str]) -> np.ndarray:
             if n > 1:
                 hashed = (hashed[:-1] ^ (letters[n - 1 :] + np.uint32(n))) * np.uint32(0x85EBCA6B)
                 hashed ^= hashed >> np.uint32(15)
-            flat[base[: len(hashed)] + (hashed >> np.uint32(19)).astype(np.int64)] = 1.0
+            within = rows[: len(hashed)] == rows[n - 1 :]  # no n-gram reaches into the next text
+            flat[(base[: len(hashed)] + (hashed >> np.uint32(19)).astype(np.int64))[within]] = 1.0
         row = until
     return found
 
@@ -70,7 +76,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text. The score is the best regression value, from -1 to 1, brought to 0 to 1."""
-        lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        lettered = [i for i, t in enumerate(texts) if has_letter(t)]
         labels, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if self.languages:
             for at in range(0, len(lettered), 64):
@@ -124,7 +130,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
         for batch in source:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                packed = [np.packbits(row > 0).tobytes() for row in presence([t if _LETTER.search(t) else "" for t in part.column(2).to_pylist()])]
+                packed = [np.packbits(row > 0).tobytes() for row in presence([t if has_letter(t) else "" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["doc_id", "lang", "bits"])
 
     chosen = labelled.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").mapInArrow(bits, "doc_id long, lang string, bits binary")
@@ -171,7 +177,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 texts = part.column(at_text).to_pylist()
                 labels, _ = model.predict(texts)
                 langs = [old if old is not None else new for old, new in zip(part.column(at_lang).to_pylist(), labels, strict=True)]
-                kept = pa.array([bool(t and _LETTER.search(t)) for t in texts])
+                kept = pa.array([has_letter(t) for t in texts], pa.bool_())
                 columns = [pa.array(langs, pa.string()) if i == at_lang else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names).filter(kept)
 
