@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """docs has doc_row (a unique long) and text. Returns doc_row, spans: array of (first, edges), each for edges + window - 1
     words from word `first` that are covered by repeated windows."""
     source = docs.select("doc_row", "text")
-    every = source.mapInArrow(_paths(window, gram), _PATHS)
+    every = materialize(source.mapInArrow(_paths(window, gram), _PATHS), "repeats-every")
     often = every.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1").select("minimiser")
     often = materialize(often, "repeats-often")  # written, so that both sides of the join are dealt anew and hot keys can be split
     met = materialize(every.join(often, "minimiser", "left_semi"), "repeats-paths")
