@@ -318,6 +318,24 @@ def test_language(spark, docs, empty):
     assert lang_id.keep_identified(docs).columns == docs.columns
 
 
+def test_language_kernel_by_brute_force():
+    texts = ["Das Haus", "the house by the sea", "la maison, la mer", "a", "é²½"]
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() or ord(c) >= 0x250 else " " for c in text.lower()) + "  "
+        return {letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1)}
+
+    found = lang_id._kernel(lang_id.presence(texts), lang_id.presence(texts))
+    for i, x in enumerate(texts):
+        for j, z in enumerate(texts):
+            a, b = grams(x), grams(z)
+            # Features are hashed, so that a few n-grams may meet in one.
+            assert abs(found[i, j] - len(a & b) / (len(a) * len(b)) ** 0.5) < 0.05
+    together = lang_id.presence(texts)
+    assert all((lang_id.presence([t])[0] == together[i]).all() for i, t in enumerate(texts))
+    assert [lang_id.has_letter(t) for t in ("²", "½ 3", "x²", None, "", "_", "ж")] == [False, False, True, False, False, False, True]
+
+
 def test_word_pieces(docs, empty):
     for turn in range(300):
         pieces = {bytes(RNG.choice(b"abc ") for _ in range(RNG.randint(1, 5))) for _ in range(9)} | ({b" ", b"a", b"b", b"c"} if turn % 2 else set())
@@ -419,5 +437,10 @@ def test_fair_mix(docs, empty):
         capped |= over
     for s in order:
         want = 2 * sources[s][0] if s in capped else left * weights[s] / total
-        assert sources[s][0] == sources[s][3] and abs(sources[s][2] - want) < 1e-6 and abs(sources[s][1] - want) <= fair_mix.PACKET
+        assert sources[s][0] == sources[s][3] and abs(sources[s][2] - want) < 1e-6 and abs(sources[s][1] - want) <= len(order)
+    assert sum(taken for _, taken, _, _ in sources.values()) == int(budget)
     assert sorted(map(str, rows)) == sorted(map(str, fair_mix.fair_mix(docs, bucket_rows=5).collect()))
+    again = docs.union(docs.limit(9)).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))  # repeated and null ids
+    got = fair_mix.fair_mix(again, bucket_rows=5).collect()
+    assert len(got) == len(ROWS) + 9 and all(0 <= r.taken <= 2 * r.size for r in got)
+    assert abs(sum(r.taken for r in got) - 1.5 * sum(r.size for r in got)) < 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,54 +14,69 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 #: Times that a document may be taken.
 PASSES = 2
-#: Words in a packet: a source's share is off its target by at most one packet.
-PACKET = 64
 #: Mean rows in a bucket of the running sums.
 BUCKET_ROWS = 4096
 
 
+def _running(df: DataFrame, by: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """df with, for each (new name: column) of sums, the sum of that column up to the row in the order of `by`, itself
+    included. Rows are dealt to ranges; only the ranges' totals, a row for each, meet, so no task holds all rows."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = materialize(df.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()), name)
+    totals = dealt.groupBy("part").agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()
+    before, at = {}, {n: 0.0 if dict(df.dtypes)[c] == "double" else 0 for n, c in sums.items()}
+    for row in sorted(totals, key=lambda r: r["part"]):
+        before[row["part"]] = dict(at)
+        at = {n: at[n] + (row[n] or 0) for n in sums}
+    within = W.partitionBy("part").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    schema = "part int, " + ", ".join(f"_{n} {dict(dealt.dtypes)[c]}" for n, c in sums.items())
+    starts = df.sparkSession.createDataFrame([(part, *own.values()) for part, own in before.items()], schema)  # a row for each range
+    dealt = dealt.join(F.broadcast(starts), "part")
+    for n, c in sums.items():
+        dealt = dealt.withColumn(n, F.sum(c).over(within) + F.col(f"_{n}")).drop(f"_{n}")
+    return dealt.drop("part")
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES) -> DataFrame:
-    """A row for each source: source, source_rank (from 0), weight, source_rows, source_size, target.
+    """A row for each source: source, source_rank (from 0), weight, source_rows, source_size, target, level.
 
     Water filling in closed form: sources ordered by cap / weight fill up first; with those before i at their caps, the
     level of the others is (budget - caps before) / (weights from i on). That level rises while caps bind and falls
-    afterwards, so the true level is the largest. Only the distinct sources meet in one window.
+    afterwards, so the true level is the largest.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    ranked = sums.withColumn("source_rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"), F.lit(1).cast("long").alias("one"))
+    ranked = _running(sums, [F.col("source").asc_nulls_last()], {"source_rank": "one"}, "mix-sources").withColumn("source_rank", F.col("source_rank") - 1)
     ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_rank") % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size").cast("double") * passes)
-    everything = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    filled = W.orderBy(F.col("cap") / F.col("weight"), "source_rank")
-    before, after = filled.rowsBetween(W.unboundedPreceding, -1), filled.rowsBetween(W.currentRow, W.unboundedFollowing)
-    total = F.sum("source_size").over(everything) * F.lit(float(budget))
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    ranked = ranked.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    return ranked.select("source", "source_rank", "weight", "source_rows", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
+    ranked = ranked.withColumn("cap", F.col("source_size").cast("double") * passes).withColumn("fills", F.col("cap") / F.col("weight"))
+    filled = materialize(_running(ranked, [F.col("fills"), F.col("source_rank")], {"caps": "cap", "weights": "weight"}, "mix-filled"), "mix-levels")
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(budget) * (whole["size"] or 0)) - (F.col("caps") - F.col("cap"))) / (F.lit(float(whole["weight"] or 0)) - (F.col("weights") - F.col("weight")))
+    highest = filled.agg(F.max(level)).first()[0] or 0.0
+    return filled.select("source", "source_rank", "weight", "source_rows", "source_size", F.least("cap", F.lit(highest) * F.col("weight")).alias("target"), F.lit(highest).alias("level"))
 
 
-def shuffled(doc_id: F.Column) -> F.Column:
+def shuffled(doc_id: Column) -> Column:
     """A document's place in the shuffle, in [0, 1): the first 48 bits of the MD5 of its id, so that reruns agree."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
-def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, packet: int = PACKET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Returns for each row of docs: doc_id, source, size, source_size, target, taken.
 
-    Each source's documents are shuffled and served one after another, up to `passes` times round, in packets of at most
-    `packet` words. A packet's virtual finish time is the source's words up to its end divided by the source's weight. All
-    packets are sorted by that time across the cluster, and the mix ends where the total budget is used up; the packet at
-    the cut is shortened. A source that runs out leaves its share to the others, in proportion to their weights, which is
-    what the reshared targets say.
+    Each source's documents are shuffled and served one after another, up to `passes` times round, all sources at once in
+    proportion to their weights. A document's virtual finish time is the source's words up to its end divided by the source's
+    weight. At the time when the whole budget has been served (the level of the reshared targets), documents that have
+    finished are taken whole, and the one in service in each source with the words served so far, rounded up. These rows are
+    sorted by their time across the cluster, and the mix ends where the total budget is used up, which shortens the last ones
+    by what was rounded up: a word for each source at most. So each source is within a few words of its target.
 
     Running sums never gather a source in one task: rows go to buckets of about bucket_rows by their place in the shuffle,
-    the buckets' sums give each bucket's start, and only a bucket is sorted at once. The global order uses a range
-    partitioning with the sums of the partitions.
+    the buckets' sums give each bucket's start, and only a bucket is sorted at once. Global orders use range partitionings with
+    the sums of the partitions.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last in order. Null or repeated ids: rows are
     served each for itself; equal rows are interchangeable. No rows: no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffled(F.col("doc_id")).alias("place")), "mix-sizes")
     targets = materialize(source_targets(sized, weights, budget, passes).coalesce(1), "mix-targets")
     keyed = sized.withColumnRenamed("source", "own_source")
@@ -70,29 +85,16 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     starts = rows.groupBy("source_rank", "bucket").agg(F.sum("size").alias("words")).withColumn("bucket_start", F.sum("words").over(W.partitionBy("source_rank").orderBy("bucket")) - F.col("words")).drop("words")
     within = W.partitionBy("source_rank", "bucket").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("start", F.sum("size").over(within) - F.col("size")).join(starts, ["source_rank", "bucket"])
-    rows = materialize(rows.withColumn("start", F.col("start") + F.col("bucket_start")).select("doc_id", "source", "size", "source_size", "target", "source_rank", "weight", "start"), "mix-rows")
-
-    served = rows.filter("size > 0").select("source_rank", "start", "size", "weight", F.explode(F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda p: p * F.col("source_size"))).alias("round_start"))
-    served = served.select("source_rank", "start", "size", "weight", "round_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long"))).alias("at"))
-    served = served.withColumn("words", F.least(F.lit(packet).cast("long"), F.col("size") - F.col("at")))
-    finish = (F.col("round_start") + F.col("start") + F.col("at") + F.col("words")) / F.col("weight")
-    packets = served.select(finish.alias("finish"), "source_rank", "start", "words")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = materialize(packets.repartitionByRange(parts, "finish", "source_rank").withColumn("part", F.spark_partition_id()), "mix-packets")
-    total = float(budget) * (sized.agg(F.sum("size")).first()[0] or 0)
-    sums = {r["part"]: r["words"] for r in ordered.groupBy("part").agg(F.sum("words").alias("words")).collect()}  # a number for each partition
-    cut, before = -1, 0
-    for part in sorted(sums):
-        if before + sums[part] > total:
-            cut = part
-            break
-        before += sums[part]
-    last = max(sums, default=-1) + 1 if cut < 0 else cut
-    inside = ordered.filter(F.col("part") < last).select("source_rank", "start", "words")
-    edge = ordered.filter(F.col("part") == last)
-    edge = edge.withColumn("left", F.lit(int(total) - before) - F.sum("words").over(W.partitionBy("part").orderBy("finish", "source_rank", "start").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("words"))
-    edge = edge.select("source_rank", "start", F.greatest(F.lit(0), F.least("words", "left")).alias("words"))
-    taken = inside.union(edge).groupBy("source_rank", "start").agg(F.sum("words").alias("taken"))
+    rows = materialize(rows.withColumn("start", F.col("start") + F.col("bucket_start")).select("doc_id", "source", "size", "source_size", "target", "source_rank", "weight", "level", "start"), "mix-rows")
+
+    served = rows.filter("size > 0").select("source_rank", "start", "size", "weight", "level", F.explode(F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda p: p * F.col("source_size"))).alias("round_start"))
+    words = F.least(F.col("size"), F.ceil(F.col("level") * F.col("weight") - F.col("round_start") - F.col("start")))
+    finish = F.least(F.col("level"), (F.col("round_start") + F.col("start") + F.col("size")) / F.col("weight"))
+    served = served.select("source_rank", "start", (F.col("round_start") + F.col("start")).alias("begin"), finish.alias("finish"), words.alias("words")).filter("words > 0")
+    total = int(float(budget) * (sized.agg(F.sum("size")).first()[0] or 0))
+    ordered = _running(served, [F.col("finish"), F.col("source_rank"), F.col("begin")], {"used": "words"}, "mix-order")
+    kept = ordered.withColumn("words", F.least("words", F.lit(total) - F.col("used") + F.col("words"))).filter("words > 0")
+    taken = kept.groupBy("source_rank", "start").agg(F.sum("words").alias("taken"))
     found = rows.withColumn("served", F.col("size") > 0).join(taken.withColumn("served", F.lit(True)), ["source_rank", "start", "served"], "left")
     return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -114,12 +116,12 @@ placed AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.source_rank, t.weight,
          (sum(d.size) OVER (PARTITION BY t.source_rank ORDER BY d.place, d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS start
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
-packets AS (
-  SELECT p.source_rank, p.start, least({PACKET}, p.size - a.at) AS words,
-         (r.pass * p.source_size + p.start + a.at + least({PACKET}, p.size - a.at))::DOUBLE / p.weight AS finish
-  FROM placed p, (VALUES (0), (1)) AS r(pass), LATERAL (SELECT unnest(range(0, p.size, {PACKET})) AS at) a WHERE p.size > 0),
+served AS (
+  SELECT p.source_rank, p.start, r.pass * p.source_size + p.start AS begin, least(l.level, (r.pass * p.source_size + p.start + p.size)::DOUBLE / p.weight) AS finish,
+         least(p.size, ceil(l.level * p.weight - r.pass * p.source_size - p.start)::BIGINT) AS words
+  FROM placed p, (VALUES (0), (1)) AS r(pass), (SELECT max(level) AS level FROM levels) l WHERE p.size > 0),
 cumulated AS (
-  SELECT *, floor(1.5::DOUBLE * (SELECT sum(size) FROM sized)) - (sum(words) OVER (ORDER BY finish, source_rank, start ROWS UNBOUNDED PRECEDING) - words) AS remaining FROM packets),
+  SELECT *, floor(1.5::DOUBLE * (SELECT sum(size) FROM sized)) - (sum(words) OVER (ORDER BY finish, source_rank, begin ROWS UNBOUNDED PRECEDING) - words) AS remaining FROM served WHERE words > 0),
 taken AS (SELECT source_rank, start, sum(greatest(0, least(words, remaining)))::BIGINT AS taken FROM cumulated GROUP BY ALL)
 SELECT p.doc_id, p.source, p.size, p.source_size, p.target, CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END AS taken
 FROM placed p LEFT JOIN taken t ON p.source_rank = t.source_rank AND p.start = t.start
