@@ -49,20 +49,26 @@ def token_set(a: str, b: str) -> float:
     return best
 
 
+def _best_window(a: str, b: str) -> float:
+    """a against its best window in b, which isn't shorter; windows that reach over an end are cut off there."""
+    size, letters, best = len(a), set(a), 0.0
+    for end in range(1, len(b) + size):
+        window = b[max(0, end - size) : min(end, len(b))]
+        if window[-1] in letters or window[0] in letters:
+            best = max(best, ratio(a, window))
+    return best
+
+
 def partial(a: str, b: str) -> float:
-    """The shorter against its best window in the longer, windows at both ends cut off included."""
+    """The shorter against its best window in the longer; of two that are equally long, each takes its turn as the shorter."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    size, letters, best = len(a), set(a), 0.0
-    for end in range(1, len(b) + size):
-        window = b[max(0, end - size) : min(end, len(b))]
-        if window[-1] in letters or window[0] in letters:
-            best = max(best, ratio(a, window))
-    return best
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) else best
 
 
 def _partial_token(a: str, b: str) -> float:

@@ -50,21 +50,24 @@ def effective_separator(separator: str, column: str) -> str:
     return separator or (PARTS if column.endswith("_names") else "")
 
 
+# Patterns of conveyance texts with their types, the first that is found decides.
+CONVEYANCE_RULES = (
+    (r"\bRELEASE\b|TERMINATION\s+(AND\s+RELEASE|OF\s+SECURITY)", "release"),
+    (r"SECURITY\s+(INTEREST|AGREEMENT)|FOR\s+SECURITY|\bLIEN\b|COLLATERAL", "security_interest"),
+    (r"NUNC\s+PRO\s+TUNC", "nunc_pro_tunc"),
+    (r"CORRECTIV|CORRECTION|TO\s+CORRECT", "correction"),
+    (r"\bMERGER\b|CHANGE\s+OF\s+NAME\s+AND\s+MERGER", "merger"),
+    (r"CHANGE\s+OF\s+NAME|NAME\s+CHANGE", "name_change"),
+    (r"\bLICENSE\b|\bLICENCE\b", "license"),
+    (r"ASSIGN", "assignment"),
+)
+
+
 def conveyance_type(column: Column, null_as_other: bool = False) -> Column:
     """The first rule that fits; text without any is other, null stays null."""
     text = F.upper(column)
-    rules = (
-        (r"\bRELEASE\b|TERMINATION\s+(?:AND\s+RELEASE|OF\s+SECURITY)", "release"),
-        (r"SECURITY\s+(?:INTEREST|AGREEMENT)|FOR\s+SECURITY|\bLIEN\b|COLLATERAL", "security_interest"),
-        (r"NUNC\s+PRO\s+TUNC", "nunc_pro_tunc"),
-        (r"CORRECTIV|CORRECTION|TO\s+CORRECT", "correction"),
-        (r"\bMERGER\b", "merger"),
-        (r"CHANGE\s+OF\s+NAME|NAME\s+CHANGE", "name_change"),
-        (r"\bLICEN[SC]E\b", "license"),
-        (r"ASSIGN", "assignment"),
-    )
     found = F.when(column.isNull(), F.lit("other") if null_as_other else F.lit(None).cast("string"))
-    for pattern, label in rules:
+    for pattern, label in CONVEYANCE_RULES:
         found = found.when(text.rlike(pattern), label)
     return found.otherwise("other")
 
@@ -103,7 +106,7 @@ def doc_type(number: Column, kind: Column) -> Column:
         F.when(kind == "X0", "application")
         .when(kind.startswith("B"), "grant")
         .when(kind.isin("A1", "A2", "A9", "P1", "P4") & (digits == 11), "publication")
-        .when(kind.startswith("A"), F.when(digits <= 8, "grant").otherwise("publication"))
+        .when(kind == "A", F.when(digits <= 8, "grant").otherwise("publication"))
         .when(number.rlike("^(?:D|PP|RE|H|T)") & (digits > 0), "grant")
         .when(digits == 11, "publication")
         .otherwise("unknown")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -78,33 +78,50 @@ def footprint(rows: DataFrame, grain: str = "subclass") -> DataFrame:
     return rows.select(normalize_grant(F.col("patent").cast("string")).alias("portfolio_patent"), F.explode(F.split("cpc", "[;,|]")).alias("c")).filter("trim(c) <> ''").select("portfolio_patent", grain_of(F.trim("c"), grain).alias("code")).distinct()
 
 
-def buyer_patents(df: DataFrame, buyer: str, grain: str = "subclass", number: str = "doc_number", kind: str = "doc_kind", date: str = "transaction_date") -> DataFrame:
-    """buyer, patent_id, codes, year: one row for each buyer and grant."""
-    ids = normalize_patent_id(F.col(number), doc_type(F.col(number), F.col(kind)))
-    rows = df.select(F.trim(F.col(buyer)).alias("buyer"), ids.alias("patent_id"), reduce_codes(F.col("cpc_codes"), grain).alias("codes"), year_of(F.col(date)).alias("year")).filter("buyer <> '' and patent_id <> ''")
-    return rows.groupBy("buyer", "patent_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"), F.max("year").alias("year"))
+def buyer_patents(df: DataFrame, buyer: str, grain: str = "subclass", number: str = "doc_number", kind: str = "doc_kind", date: str = "transaction_date", ordinal: str | None = None) -> DataFrame:
+    """buyer (null counts as empty), patent_id, codes, year, ord: one row for each buyer and grant; ord: the first row's ordinal."""
+    kinds = F.col(kind) if kind in df.columns else F.lit(None).cast("string")
+    ids = normalize_patent_id(F.col(number), doc_type(F.col(number), kinds))
+    years = year_of(F.col(date)) if date in df.columns else F.lit(0)
+    first = F.col(ordinal) if ordinal and ordinal in df.columns else F.lit(None).cast("long")
+    rows = df.select(F.coalesce(F.col(buyer), F.lit("")).alias("buyer"), ids.alias("patent_id"), F.coalesce(reduce_codes(F.col("cpc_codes"), grain), F.array().cast("array<string>")).alias("codes"), F.coalesce(years, F.lit(0)).alias("year"), first.alias("ord")).filter("patent_id <> ''")
+    return rows.groupBy("buyer", "patent_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"), F.max("year").alias("year"), F.min("ord").alias("ord"))
+
+
+def _year_text(year: Column) -> Column:
+    return F.when(year > 0, year.cast("int").cast("string")).otherwise("")
 
 
 def match_portfolio(portfolio: DataFrame, patents: DataFrame, config: MatchConfig = MatchConfig()) -> dict[str, DataFrame]:
-    """portfolio: portfolio_patent, code. patents: buyer, patent_id, codes, year. Returns per, overall and class tables.
+    """portfolio: portfolio_patent, code. patents: buyer, patent_id, codes, year and, if ties go to the buyer met first, ord.
+    Returns per, overall and class tables.
 
-    Every metric needs a shared code, so pairs come from an equi-join on codes; a code's weight is how rare it is. Ranks compare values
-    to six places, so that the order of a sum's terms can't change them.
+    Patents matter by their sets of codes alone. So distinct sets of the portfolio meet distinct sets of the buyers, in an
+    equi-join on codes; sums follow from how many patents of a buyer have a set; and portfolio patents come in last, by their
+    set. No row stands for a portfolio patent and a buyer's patent but in the class table, whose rows they are. Ranks compare
+    values to six places, so that the order of a sum's terms can't change them; ties go by ord, then buyer.
     """
-    coded = patents.select("buyer", "patent_id", "year", F.size("codes").alias("own"), F.explode("codes").alias("code"))
+    if "ord" not in patents.columns:
+        patents = patents.withColumn("ord", F.lit(None).cast("long"))
+    owned = patents.withColumn("own_set", F.array_sort("codes")).filter(F.size("own_set") > 0)
+    held = owned.groupBy("buyer", "own_set").agg(F.count("*").alias("many"), F.max("year").alias("year"), F.min("ord").alias("ord"))
+    sets = owned.groupBy("own_set").agg(F.count("*").alias("many"))
+    coded = sets.select("own_set", "many", F.explode("own_set").alias("code"))
     total = patents.agg(F.count("*").cast("double").alias("total"))
-    weights = coded.groupBy("code").agg(F.count("*").alias("df")).join(total).select("code", (F.col("total") / F.col("df")).alias("weight"))
-    sizes = portfolio.groupBy("portfolio_patent").agg(F.count("*").alias("wanted"))
-    met = coded.join(portfolio, "code").join(weights, "code", "left").groupBy("portfolio_patent", "buyer", "patent_id").agg(F.count("*").alias("shared"), F.sum(F.coalesce("weight", F.lit(1.0))).alias("rarity"), F.first("own").alias("own"), F.max("year").alias("year"), F.array_sort(F.collect_set("code")).alias("codes"))
-    met = met.join(sizes, "portfolio_patent")
-    points = {"shared_count": F.col("shared").cast("double"), "jaccard": F.col("shared") / (F.col("own") + F.col("wanted") - F.col("shared")), "rarity_weighted": F.col("rarity")}[config.metric]
+    weights = coded.groupBy("code").agg(F.sum("many").alias("df")).join(total).select("code", (F.col("total") / F.col("df")).alias("weight"))
+    wanted = portfolio.groupBy("portfolio_patent").agg(F.array_sort(F.collect_set("code")).alias("set"))
+    asked = wanted.select("set").distinct().withColumn("code", F.explode("set"))
+    met = coded.join(asked, "code").join(weights, "code").groupBy("set", "own_set").agg(F.count("*").alias("shared"), F.sum("weight").alias("rarity"), F.array_sort(F.collect_list("code")).alias("codes"))
+    points = {"shared_count": F.col("shared").cast("double"), "jaccard": F.col("shared") / (F.size("own_set") + F.size("set") - F.col("shared")), "rarity_weighted": F.col("rarity")}[config.metric]
     met = met.withColumn("points", points).filter(F.col("points") >= config.threshold)
-    sums = met.groupBy("portfolio_patent", "buyer").agg(F.sum("points").alias("strength"), F.count("*").alias("in_domain_patents"), F.max("year").alias("year"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("shared_codes")).filter(F.col("in_domain_patents") >= config.min_patents)
+    sums = held.join(met, "own_set").groupBy("set", "buyer").agg(F.sum(F.col("points") * F.col("many")).alias("strength"), F.sum("many").alias("in_domain_patents"), F.max("year").alias("year"), F.min("ord").alias("ord"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("codes")))).alias("shared_codes")).filter(F.col("in_domain_patents") >= config.min_patents)
     ranked = sums.withColumn("rank_value", config.w_overlap * F.col("strength") + config.w_volume * F.col("in_domain_patents") + config.w_recency * recency(F.col("year")))
-    nth = F.row_number().over(W.partitionBy("portfolio_patent").orderBy(F.desc(F.round("rank_value", 6)), "buyer"))
+    nth = F.row_number().over(W.partitionBy("set").orderBy(F.desc(F.round("rank_value", 6)), F.col("ord").asc_nulls_last(), "buyer"))
     off = F.when(F.col("buyer").startswith("prov-"), "true").otherwise("false").alias("is_off_gazetteer")
-    per = ranked.select("portfolio_patent", nth.cast("long").alias("rank"), "buyer", F.round("strength", 4).alias("overlap_strength"), "shared_codes", "in_domain_patents", F.col("year").cast("long").alias("latest_year"), F.round("rank_value", 4).alias("rank_score"), off)
-    overall = per.groupBy("buyer").agg(F.count("*").alias("portfolio_patents_matched"), F.round(F.sum("overlap_strength"), 4).alias("total_overlap_strength"), F.max("in_domain_patents").alias("in_domain_patents"), F.max("latest_year").alias("latest_year"), F.first("is_off_gazetteer").alias("is_off_gazetteer"))
-    survivors = sums.select("portfolio_patent", "buyer")
-    classes = met.join(survivors, ["portfolio_patent", "buyer"], "left_semi").select("portfolio_patent", "buyer", F.col("patent_id").alias("buyer_patent"), F.explode("codes").alias("class"), F.col("year").cast("long").alias("year"))
+    ranked = ranked.select("set", "buyer", F.round("strength", 4).alias("overlap_strength"), "in_domain_patents", "year", "shared_codes", off, F.round("rank_value", 4).alias("rank_score"), nth.cast("long").alias("rank"))
+    per = wanted.join(ranked, "set").select("portfolio_patent", "buyer", "overlap_strength", "in_domain_patents", _year_text(F.col("year")).alias("last_acquisition_date"), "shared_codes", "is_off_gazetteer", "rank_score", "rank")
+    each = wanted.groupBy("set").agg(F.count("*").alias("patents"))
+    overall = ranked.join(each, "set").groupBy("buyer").agg(F.sum("patents").alias("portfolio_patents_matched"), F.round(F.sum(F.col("overlap_strength") * F.col("patents")), 4).alias("total_overlap_strength"), F.max("in_domain_patents").alias("in_domain_patents"), _year_text(F.max("year")).alias("last_acquisition_date"), F.first("is_off_gazetteer").alias("is_off_gazetteer"))
+    evidence = met.select("set", "own_set", "codes").join(owned.select("own_set", "buyer", "patent_id", "year"), "own_set").join(ranked.select("set", "buyer", "is_off_gazetteer"), ["set", "buyer"])
+    classes = wanted.join(evidence, "set").select("portfolio_patent", "buyer", F.col("patent_id").alias("buyer_patent"), F.explode("codes").alias("cpc_class"), _year_text(F.col("year")).alias("year"), "is_off_gazetteer")
     return {"per": per, "overall": overall, "class": classes}

@@ -168,14 +168,14 @@ def split_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.split_parties(F.concat("c_name", F.lit(";  ; "), "c_mktsegment", F.lit("; x "))).alias("parts"))
 
 
-_TEXTS = ("ASSIGNMENT OF ASSIGNORS INTEREST", "RELEASE BY SECURED PARTY", "SECURITY AGREEMENT", "NUNC PRO TUNC ASSIGNMENT", "CORRECTIVE ASSIGNMENT", "MERGER", "CHANGE OF NAME", "LICENSE", "LIEN", "TERMINATION OF SECURITY INTEREST", "OTHER THING")
+_TEXTS = ("ASSIGNMENT OF ASSIGNORS INTEREST", "RELEASE BY SECURED PARTY", "SECURITY AGREEMENT", "NUNC PRO TUNC ASSIGNMENT", "CORRECTIVE ASSIGNMENT", "MERGER", "CHANGE OF NAME", "LICENSE", "LIEN", "TERMINATION OF SECURITY INTEREST", "OTHER THING", "CHANGE OF NAME AND MERGERS", "LICENCE")
 _PICK = "[" + ", ".join(f"'{t}'" for t in _TEXTS) + f"][(o_orderkey % {len(_TEXTS)} + 1)::INT]"
 
 
 @query(
     f"""SELECT o_orderkey, CASE WHEN regexp_matches(t, '\\bRELEASE\\b|TERMINATION\\s+(AND\\s+RELEASE|OF\\s+SECURITY)') THEN 'release'
   WHEN regexp_matches(t, 'SECURITY\\s+(INTEREST|AGREEMENT)|FOR\\s+SECURITY|\\bLIEN\\b|COLLATERAL') THEN 'security_interest' WHEN regexp_matches(t, 'NUNC\\s+PRO\\s+TUNC') THEN 'nunc_pro_tunc'
-  WHEN regexp_matches(t, 'CORRECTIV|CORRECTION|TO\\s+CORRECT') THEN 'correction' WHEN regexp_matches(t, '\\bMERGER\\b') THEN 'merger'
+  WHEN regexp_matches(t, 'CORRECTIV|CORRECTION|TO\\s+CORRECT') THEN 'correction' WHEN regexp_matches(t, '\\bMERGER\\b|CHANGE\\s+OF\\s+NAME\\s+AND\\s+MERGER') THEN 'merger'
   WHEN regexp_matches(t, 'CHANGE\\s+OF\\s+NAME|NAME\\s+CHANGE') THEN 'name_change' WHEN regexp_matches(t, '\\bLICEN[SC]E\\b') THEN 'license' WHEN regexp_matches(t, 'ASSIGN') THEN 'assignment' ELSE 'other' END AS kind
 FROM (SELECT o_orderkey, {_PICK} AS t FROM orders)"""
 )
@@ -193,17 +193,17 @@ def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", classify.classify_value(name, "; ", "any").alias("kind"), classify.classify_value(name, "; ", "all").alias("all_kind"))
 
 
-_DOCS = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'US0' || p_partkey WHEN p_partkey % 5 = 1 THEN lpad(p_partkey::VARCHAR, 11, '2') ELSE 'D' || p_partkey END AS number, ['B1', 'A1', 'X0', NULL, 'A'][(p_partkey % 5 + 1)::INT] AS kind FROM part"
+_DOCS = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'US0' || p_partkey WHEN p_partkey % 5 = 1 THEN lpad(p_partkey::VARCHAR, [11, 7, 8][(p_partkey % 3 + 1)::INT], '2') ELSE 'D' || p_partkey END AS number, ['B1', CASE WHEN p_partkey % 2 = 0 THEN 'A1' ELSE 'A2' END, 'X0', NULL, 'A'][(p_partkey % 5 + 1)::INT] AS kind FROM part"
 _TYPE = """CASE WHEN coalesce(kind, '') = 'X0' THEN 'application' WHEN kind LIKE 'B%' THEN 'grant'
   WHEN kind IN ('A1', 'A2', 'A9', 'P1', 'P4') AND length(regexp_replace(number, '[^0-9]', '', 'g')) = 11 THEN 'publication'
-  WHEN kind LIKE 'A%' THEN CASE WHEN length(regexp_replace(number, '[^0-9]', '', 'g')) <= 8 THEN 'grant' ELSE 'publication' END
+  WHEN kind = 'A' THEN CASE WHEN length(regexp_replace(number, '[^0-9]', '', 'g')) <= 8 THEN 'grant' ELSE 'publication' END
   WHEN regexp_matches(number, '^(D|PP|RE|H|T)') AND regexp_matches(number, '[0-9]') THEN 'grant' WHEN length(regexp_replace(number, '[^0-9]', '', 'g')) = 11 THEN 'publication' ELSE 'unknown' END"""
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    number = F.when(key % 5 == 0, F.concat(F.lit("US0"), key)).when(key % 5 == 1, F.lpad(key.cast("string"), 11, "2")).otherwise(F.concat(F.lit("D"), key))
-    kind = F.get(F.array(F.lit("B1"), F.lit("A1"), F.lit("X0"), F.lit(None), F.lit("A")), (key % 5).cast("int"))
+    number = F.when(key % 5 == 0, F.concat(F.lit("US0"), key)).when(key % 5 == 1, F.expr("lpad(string(p_partkey), element_at(array(11, 7, 8), int(p_partkey % 3 + 1)), '2')")).otherwise(F.concat(F.lit("D"), key))
+    kind = F.get(F.array(F.lit("B1"), F.when(key % 2 == 0, "A1").otherwise("A2"), F.lit("X0"), F.lit(None), F.lit("A")), (key % 5).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", number.alias("doc_number"), kind.alias("doc_kind"))
 
 
@@ -339,7 +339,7 @@ met AS (SELECT portfolio_patent, buyer, patent_id, count(*) AS shared, sum(weigh
 pts AS (SELECT m.*, {{0}} AS points FROM met m JOIN sz USING (portfolio_patent)),
 sums AS (SELECT portfolio_patent, buyer, sum(points) AS strength, count(*) AS in_domain_patents, max(year) AS year, list_sort(list_distinct(flatten(list(codes)))) AS shared_codes FROM pts WHERE points >= {{1}} GROUP BY ALL),
 rk AS (SELECT *, strength + in_domain_patents + greatest(year - 2000, 0) AS rank_value FROM sums),
-per AS (SELECT portfolio_patent, row_number() OVER (PARTITION BY portfolio_patent ORDER BY round(rank_value, 6) DESC, buyer) AS rank, buyer, round(strength, 4) AS overlap_strength, shared_codes, in_domain_patents, year::BIGINT AS latest_year,
+per AS (SELECT portfolio_patent, row_number() OVER (PARTITION BY portfolio_patent ORDER BY round(rank_value, 6) DESC, buyer) AS rank, buyer, round(strength, 4) AS overlap_strength, shared_codes, in_domain_patents, year::VARCHAR AS last_acquisition_date,
   round(rank_value, 4) AS rank_score, 'false' AS is_off_gazetteer FROM rk) """
 
 
@@ -354,10 +354,10 @@ def _match(spark: SparkSession, sf_dir: str, config: codes.MatchConfig) -> dict[
 for _metric, _points, _least in (("shared_count", "shared::DOUBLE", 1.0), ("jaccard", "shared / (own + wanted - shared)", 0.5), ("rarity_weighted", "rarity", 1.0)):
     query(_MET.format(_points, _least) + "SELECT * FROM per", f"cpc_match_per_{_metric}")(lambda s, d, m=_metric, t=_least: _match(s, d, codes.MatchConfig(metric=m, threshold=t))["per"])
 query(
-    _MET.format("shared::DOUBLE", 1.0) + "SELECT buyer, count(*) AS portfolio_patents_matched, round(sum(overlap_strength), 4) AS total_overlap_strength, max(in_domain_patents) AS in_domain_patents, max(latest_year) AS latest_year, 'false' AS is_off_gazetteer FROM per GROUP BY buyer",
+    _MET.format("shared::DOUBLE", 1.0) + "SELECT buyer, count(*) AS portfolio_patents_matched, round(sum(overlap_strength), 4) AS total_overlap_strength, max(in_domain_patents) AS in_domain_patents, max(last_acquisition_date) AS last_acquisition_date, 'false' AS is_off_gazetteer FROM per GROUP BY buyer",
     "cpc_match_overall",
 )(lambda s, d: _match(s, d, codes.MatchConfig())["overall"])
-query(_MET.format("shared::DOUBLE", 1.0) + "SELECT portfolio_patent, buyer, patent_id AS buyer_patent, unnest(codes) AS class, year::BIGINT AS year FROM pts", "cpc_match_class")(lambda s, d: _match(s, d, codes.MatchConfig())["class"])
+query(_MET.format("shared::DOUBLE", 1.0) + "SELECT portfolio_patent, buyer, patent_id AS buyer_patent, unnest(codes) AS cpc_class, year::VARCHAR AS year, 'false' AS is_off_gazetteer FROM pts", "cpc_match_class")(lambda s, d: _match(s, d, codes.MatchConfig())["class"])
 
 
 @query("SELECT key, source FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source) AS n FROM (SELECT n_name AS key, 1 AS source FROM nation UNION ALL SELECT r_name, 2 FROM region UNION ALL SELECT n_name, 3 FROM nation)) WHERE n = 1")
@@ -418,21 +418,11 @@ def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.resolve_mentions(mentions, entities, aliases, threshold=92, scorer="token_sort")
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey % 97 AS a, 'q' || l_suppkey AS b FROM lineitem WHERE l_orderkey % 7 = 0), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS root FROM both_ways UNION SELECT r.node, x.b FROM r JOIN both_ways x ON x.a = r.root) SELECT node, min(root) AS root FROM r GROUP BY node"""
-)
-def cluster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0").select(F.concat(F.lit("p"), F.col("l_partkey") % 97).alias("a"), F.concat(F.lit("q"), "l_suppkey").alias("b")).distinct()
-    return graph.components(rows)
-
-
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 'q' || l_suppkey AS b FROM lineitem), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS root FROM both_ways UNION SELECT r.node, x.b FROM r JOIN both_ways x ON x.a = r.root) SELECT node, min(root) AS root FROM r GROUP BY node"""
 )
 def cluster_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row and every key as it is; cluster_components is held to SQL over a seventh of the orders and folded keys."""
     rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("q"), "l_suppkey").alias("b")).distinct()
     return graph.components(rows)
 
