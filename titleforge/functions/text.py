@@ -116,6 +116,10 @@ def doc_type(number: Column, kind: Column) -> Column:
 _GRANT = r"^(?:US)?([A-Z]{0,2})([0-9]+)$"
 
 
+#: Forms of a grant's number: without country and leading zeros, or as it stands.
+DOC_FORMS = ("normalized", "raw")
+
+
 def normalize_patent_id(number: Column, kind: Column, form: str = "normalized") -> Column:
     """Empty unless a grant; else without country prefix and leading zeros. form raw: trimmed upper case."""
     text = F.upper(F.trim(F.coalesce(number, F.lit(""))))

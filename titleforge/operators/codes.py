@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import checkpointed as checkpointed
 from ..functions.text import doc_type, grain_of, normalize_grant, normalize_patent_id, recency, reduce_codes, year_of
 
 
@@ -23,9 +25,16 @@ class MatchConfig:
     w_recency: float = 1.0
 
 
+# The columns of the three results.
+PER = "portfolio_patent buyer overlap_strength in_domain_patents last_acquisition_date shared_codes is_off_gazetteer rank_score rank".split()
+OVERALL = "buyer portfolio_patents_matched total_overlap_strength in_domain_patents last_acquisition_date is_off_gazetteer".split()
+CLASSES = "portfolio_patent buyer buyer_patent cpc_class year is_off_gazetteer".split()
+
+
 def lookup(ids: DataFrame, codes: DataFrame, delimiter: str = ";") -> DataFrame:
-    """ids: patent_id. codes: patent_id, cpc (one or several to a cell). Returns patent_id, cpc_codes for wanted ids found."""
-    cells = codes.select(normalize_grant(F.col("patent_id").cast("string")).alias("patent_id"), F.explode(F.split(F.col("cpc"), f"[{delimiter},|]")).alias("code")).withColumn("code", F.trim("code")).filter("code <> ''")
+    """ids: patent_id. codes: patent_id, cpc (one to a cell, or several with a delimiter). Returns patent_id, cpc_codes for wanted ids found."""
+    parts = F.split(F.col("cpc"), re.escape(delimiter)) if delimiter else F.array("cpc")
+    cells = codes.select(normalize_grant(F.col("patent_id").cast("string")).alias("patent_id"), F.explode(parts).alias("code")).withColumn("code", F.trim("code")).filter("code <> ''")
     return cells.join(ids.select("patent_id").distinct(), "patent_id", "left_semi").groupBy("patent_id").agg(F.array_sort(F.collect_set("code")).alias("cpc_codes"))
 
 
@@ -48,14 +57,21 @@ def resolve_cached(ids: DataFrame, cache: DataFrame, source: DataFrame | None, n
     return out.withColumn("status", F.when(F.col("cpc_codes").isNull(), "uncached").when(F.size("cpc_codes") > 0, "found").otherwise("not_found")), merged
 
 
+def grant_ids(df: DataFrame, number: str = "doc_number", kind: str = "doc_kind") -> Column:
+    """The normalized number of a grant, else "". Without a column of kinds, they count as null."""
+    kinds = F.col(kind) if kind in df.columns else F.lit(None).cast("string")
+    return normalize_patent_id(F.col(number), doc_type(F.col(number), kinds))
+
+
 def attach(df: DataFrame, found: DataFrame, number: str = "doc_number", kind: str = "doc_kind", cached: bool = True) -> DataFrame:
-    """df with cpc_codes, cpc_subclasses, cpc_lookup_status (na for what isn't a grant). found: patent_id, cpc_codes."""
+    """df with cpc_codes, cpc_subclasses, cpc_lookup_status (na for what isn't a grant). found: patent_id, cpc_codes; rows that
+    it holds with null codes weren't looked up."""
     base = df.drop("cpc_codes", "cpc_subclasses", "cpc_lookup_status")
-    ids = normalize_patent_id(F.col(number), doc_type(F.col(number), F.col(kind)))
-    joined = base.withColumn("_id", ids).join(found.select(F.col("patent_id").alias("_id"), F.col("cpc_codes").alias("_codes")), "_id", "left")
+    known = found.select(F.col("patent_id").alias("_id"), F.col("cpc_codes").alias("_codes"), F.col("cpc_codes").isNull().alias("_open"))
+    joined = base.withColumn("_id", grant_ids(df, number, kind)).join(known, "_id", "left")
     none = F.array().cast("array<string>")
     codes = F.coalesce("_codes", none)
-    status = F.when(F.col("_id") == "", "na").when(F.size(codes) > 0, "found").otherwise("not_found" if cached else "uncached")
+    status = F.when(F.col("_id") == "", "na").when(F.size(codes) > 0, "found").when(F.coalesce("_open", F.lit(False)), "uncached").otherwise("not_found" if cached else "uncached")
     return joined.select(*base.columns, codes.alias("cpc_codes"), reduce_codes(codes).alias("cpc_subclasses"), status.alias("cpc_lookup_status"))
 
 
@@ -65,6 +81,14 @@ def hit_rate(df: DataFrame) -> dict[str, float]:
     return row | {"eligible": asked + row["uncached"], "hit_rate": round(row["found"] / asked, 4) if asked else 0.0}
 
 
+def code_rate(df: DataFrame, number: str, kind: str) -> dict[str, float]:
+    """The share of a table's grants that have codes."""
+    known = df.select(grant_ids(df, number, kind).alias("id"), F.size(F.coalesce("cpc_codes", F.array().cast("array<string>"))).alias("n"))
+    row = known.agg(F.count(F.when((F.col("id") != "") & (F.col("n") > 0), 1)).alias("found"), F.count(F.when((F.col("id") != "") & (F.col("n") == 0), 1)).alias("not_found")).first()
+    asked = row["found"] + row["not_found"]
+    return row.asDict() | {"uncached": 0, "na": 0, "eligible": asked, "hit_rate": round(row["found"] / asked, 4) if asked else 0.0}
+
+
 def assert_hit_rate(stats: dict[str, float], floor: float) -> None:
     """Stops a match that would rest on too few codes."""
     if stats["eligible"] and stats["uncached"] == stats["eligible"]:
@@ -80,8 +104,7 @@ def footprint(rows: DataFrame, grain: str = "subclass") -> DataFrame:
 
 def buyer_patents(df: DataFrame, buyer: str, grain: str = "subclass", number: str = "doc_number", kind: str = "doc_kind", date: str = "transaction_date", ordinal: str | None = None) -> DataFrame:
     """buyer (null counts as empty), patent_id, codes, year, ord: one row for each buyer and grant; ord: the first row's ordinal."""
-    kinds = F.col(kind) if kind in df.columns else F.lit(None).cast("string")
-    ids = normalize_patent_id(F.col(number), doc_type(F.col(number), kinds))
+    ids = grant_ids(df, number, kind)
     years = year_of(F.col(date)) if date in df.columns else F.lit(0)
     first = F.col(ordinal) if ordinal and ordinal in df.columns else F.lit(None).cast("long")
     rows = df.select(F.coalesce(F.col(buyer), F.lit("")).alias("buyer"), ids.alias("patent_id"), F.coalesce(reduce_codes(F.col("cpc_codes"), grain), F.array().cast("array<string>")).alias("codes"), F.coalesce(years, F.lit(0)).alias("year"), first.alias("ord")).filter("patent_id <> ''")

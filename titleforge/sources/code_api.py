@@ -10,11 +10,21 @@ from collections.abc import Callable, Iterable
 Transport = Callable[[str, dict[str, str]], tuple[int, str]]
 
 
+def dig(value: object, path: str) -> object:
+    """What a dotted path leads to in nested objects; None where a step is missing."""
+    for name in path.split("."):
+        if not isinstance(value, dict):
+            return None
+        value = value.get(name)
+    return value
+
+
 class CodeService:
-    def __init__(self, url: str, key: str, transport: Transport, batch: int = 25, per_second: float = 4.0, retries: int = 3, budget: int = 1000, sleep: Callable[[float], None] = time.sleep) -> None:
+    def __init__(self, url: str, key: str, transport: Transport, batch: int = 25, per_second: float = 4.0, retries: int = 3, budget: int = 1000, sleep: Callable[[float], None] = time.sleep, patent_field: str = "applicationMetaData.patentNumber", code_field: str = "applicationMetaData.cpcClassificationBag") -> None:
         if not key:
             raise ValueError("no key for the code service")
         self.url, self.key, self.transport = url, key, transport
+        self.patent_field, self.code_field = patent_field, code_field
         self.batch, self.pause, self.retries, self.budget, self.sleep = batch, 1 / per_second, retries, budget, sleep
 
     def _send(self, query: str) -> dict:
@@ -39,9 +49,9 @@ class CodeService:
         for at in range(0, len(wanted), self.batch):
             part = wanted[at : at + self.batch]
             for entry in self._send(" OR ".join(part)).get("patentFileWrapperDataBag", []):
-                data = entry.get("applicationMetaData", {})
-                codes = [c.strip() for c in data.get("cpcClassificationBag", []) if c and c.strip()]
-                if data.get("patentNumber") in part:
-                    found[data["patentNumber"]] = list(dict.fromkeys(codes))
+                number, listed = dig(entry, self.patent_field), dig(entry, self.code_field)
+                codes = [str(c).strip() for c in listed if c and str(c).strip()] if isinstance(listed, list) else []
+                if number in part:
+                    found[number] = list(dict.fromkeys(codes))
             self.sleep(self.pause)
         return found

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,9 @@ from ..functions.text import PARTS
 from ..model import COLUMNS, RECORD
 
 TAG = "patent-assignment"
-_START = re.compile(rf"<{TAG}[ >]")
+_START = re.compile(rf"<{TAG}[\s>]")
+_REFERENCE = re.compile(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)(\w+;)?")
+_FORBIDDEN = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
 
 def _clean(text: str | None) -> str | None:
@@ -36,12 +40,28 @@ def _date(node: ET.Element, name: str) -> str | None:
     return _first(node, f"{name}/date") or _first(node, name)
 
 
+def mended(xml: str) -> str:
+    """Text that a strict parser takes where only references are unknown, signs aren't escaped or letters are forbidden."""
+
+    def known(m: re.Match) -> str:
+        name = m[1]
+        if not name:
+            return "&amp;"
+        letters = html.unescape(f"&{name}")
+        return escape(letters) if not letters.startswith("&") else ""
+
+    return _FORBIDDEN.sub("", _REFERENCE.sub(known, xml))
+
+
 def extract(xml: str) -> dict | None:
     """A record's fields; None for text that isn't well-formed, so that one bad record harms no other."""
     try:
         node = ET.fromstring(xml)
     except ET.ParseError:
-        return None
+        try:
+            node = ET.fromstring(mended(xml))
+        except ET.ParseError:
+            return None
     head = node.find("assignment-record")
     head = node if head is None else head
     sender = head.find("correspondent")
@@ -84,6 +104,12 @@ def read_records(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     return rows.orderBy("ordinal").limit(limit) if limit > 0 else rows
 
 
+def lost_records(spark: SparkSession, path: str) -> int:
+    """How many records of a file can't be parsed even when mended, and are left out."""
+    chunks = spark.read.option("lineSep", f"</{TAG}>").text(path).filter(F.col("value").rlike(_START.pattern))
+    return chunks.count() - read_records(spark, path).count()
+
+
 def unzip(path: str, folder: str) -> str:
     """The first .xml member of an archive, unpacked into a folder that the cluster can read."""
     with zipfile.ZipFile(path) as archive:
