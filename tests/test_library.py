@@ -219,3 +219,160 @@ def test_cluster_components_all(spark, tmp_path):
             least[f"p{p}"] = least[f"q{s}"] = min(least[f"p{p}"], least[f"q{s}"])
     got = {r.node: r.root for r in queries.queries()["cluster_components_all"](spark, str(tmp_path)).collect()}
     assert got == least and len(set(least.values())) == 5
+
+
+def test_rules_of_documents_and_conveyances(spark):
+    df = spark.createDataFrame([("1234567", "A1"), ("12345678", "A2"), ("20200012345", "A2"), ("1234567", "A"), ("20200012345", "A")], "n string, k string")
+    assert [r[0] for r in df.select(text.doc_type(df.n, df.k)).collect()] == ["unknown", "unknown", "publication", "grant", "publication"]
+    df = spark.createDataFrame([("CHANGE OF NAME AND MERGERS",), ("NAME CHANGE",), ("licence",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.conveyance_type(df.t)).collect()] == ["merger", "name_change", "license", None]
+    assert scorers.partial("c bcc  a", " b  bcca") == scorers.partial(" b  bcca", "c bcc  a")
+
+
+def test_learning(spark, tmp_path):
+    memory = Memory()
+    memory.add("Acme Widgets")
+    memory.set_alias("ACMEE WIDGETS", "Acme Widgets")
+    memory.learn([("ACME WIDGET", "Acme Widgets", 93)])
+    values = spark.createDataFrame([("Acme Widgets!", 0), ("acmee widgets", 1), ("Acme widget", 2), ("Zeta Forge", 3), ("--", 4)], "name string, ord long")
+    found = {r.name: (r.canonical, r.score, r.learned) for r in match.normalize_learn(values, 95, "ratio", memory.table(spark), learn=False).collect()}
+    assert found == {"Acme Widgets!": ("Acme Widgets", 100, True), "acmee widgets": ("Acme Widgets", 100, False), "Acme widget": ("Acme Widgets", 93, False), "Zeta Forge": ("ZETA FORGE", 0, False), "--": ("--", 0, False)}
+    found = {r.name: (r.canonical, r.score, r.learned) for r in match.normalize_learn(values, 95, "ratio", memory.table(spark)).collect()}
+    assert found["Zeta Forge"] == ("ZETA FORGE", 100, True)
+    names = [f"SAME {c}{d}" for c in "ABCDEFGH" for d in "XYZ"]
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord long")
+    assert {r.canonical for r in match.normalize_learn(rows, 100, "ratio", cap=3).collect()} == set(names)
+
+    assert memory.review(95) == [("ACME WIDGET", "Acme Widgets", 93)] and memory.review(95, "zzz") == []
+    memory.rename("Acme Widgets", "Acme")
+    memory.set_type("Acme", "company")
+    memory.add("Akme")
+    memory.fold("Akme", "Acme")
+    assert memory.aliases["ACME WIDGET"] == ("Acme", 93) and memory.aliases["AKME"] == ("Acme", 100)
+    memory.save(str(tmp_path / "m.json"))
+    again = Memory.load(str(tmp_path / "m.json"))
+    assert again == memory and Memory.load(str(tmp_path / "none.json")) == Memory()
+    assert Memory.from_dict({"canonicals": ["B"], "aliases": {"b b": "B"}}).aliases == {"b b": ("B", 100)}
+    other = Memory.from_dict({"canonicals": ["Acme", "Beta"], "aliases": {"AKME": ["Beta", 91]}, "types": {"Acme": "unknown"}})
+    again.merge(other)
+    assert list(again.canonicals) == ["Acme", "Beta"] and again.aliases["AKME"] == ("Beta", 91) and again.types["Acme"] == "company"
+    again.confirm("AKME")
+    assert again.review() == [("ACME WIDGET", "Acme", 93)]
+    again.delete("Beta")
+    assert "AKME" not in again.aliases and again.tag(spark, only_missing=True) == 0
+    (tmp_path / "s.csv").write_text("Gama,Gamma\nDelta\n")
+    (tmp_path / "s.txt").write_text("Eps\n\n")
+    (tmp_path / "s.json").write_text('["Eta"]')
+    for suffix, count in (("csv", 3), ("txt", 4), ("json", 5)):
+        assert again.seed(str(tmp_path / f"s.{suffix}")) == count
+    assert again.aliases["GAMA"] == ("Gamma", 100)
+
+    df = spark.createDataFrame([(0, "Zeta Forge; Acme widget"), (1, None), (2, " ; ")], f"{relational.ORDINAL} long, x_names string")
+    learned = []
+    out = match.normalize_column(df, "x_names", relational.ORDINAL, separator="; ", threshold=95, scorer="ratio", emit_score=True, emit_type=True, learn=False, known=memory.table(spark), types=memory.type_table(spark), learned=learned)
+    got = {r[0]: (r.x_names_canonical, r.x_names_canonical_score, r.x_names_canonical_type) for r in out.collect()}
+    assert got == {0: ("ZETA FORGE; Acme", 0, "company"), 1: (None, None, None), 2: ("", 100, "")} and learned[0].count() == 0
+
+
+def test_tolerant_xml(spark, xml, tmp_path):
+    good = RECORD.format(7, "ASSIGNMENT", PERSON.format("A&nbsp;B & C &eacute;&zzz;", "20240101"), "D LLC").replace("<patent-assignment>", "<patent-assignment\n>")
+    path = tmp_path / "odd.xml"
+    path.write_text(f"<root>{good}\n<patent-assignment><x></patent-assignment></root>")
+    records = xml_records.read_records(spark, str(path)).collect()
+    assert len(records) == 1 and records[0].assignors[0]["name"] == "A\xa0B & C é"
+    assert xml_records.lost_records(spark, str(path)) == 1
+
+
+def test_runs(spark, xml, tmp_path):
+    plan = template.decode({"name": "a/b", "steps": [
+        {"kind": "normalize", "table": "flat", "column": "assignee_names", "target": "name_canonical"},
+        {"kind": "filter", "table": "flat", "clauses": [{"column": "reel_no", "op": "equals", "value": "none"}]},
+        {"kind": "export", "fmt": "csv", "tables": ["flat", "gone"], "columns": {"flat": ["reel_no", "zz"]}, "renames": {"flat": {"reel_no": "reel"}}},
+    ]})
+    memory, heard = Memory(), []
+    record = batch.run(spark, plan, [str(xml), str(tmp_path / "none.xml")], str(tmp_path / "out"), memory=memory, events=lambda *e: heard.append(e), trace="csv", timestamp="t")
+    assert record["summary"] == {"succeeded": 1, "failed": 1} and "GADGET LLC" in memory.canonicals
+    assert any(level == "error" and "without rows" in m for level, m in heard) and any("no table gone" in m for _, m in heard)
+    steps = record["results"][0]["steps"]
+    assert steps[0]["columns_added"] == ["assignee_names_canonical"] and (steps[1]["rows_before"], steps[1]["rows_after"], steps[1]["note"]) == (4, 0, "dropped all rows")
+    home = tmp_path / "out" / "a_b_t"
+    assert {p.name for p in home.iterdir()} == {"in", "manifest.json", "run.log", "summary.xlsx"}
+    assert (home / "in" / "flat.csv").read_text().strip() == "reel" and sorted(p.name for p in (home / "in" / "steps").iterdir()) == ["01_flat.csv", "02_flat.csv"]
+    assert len((tmp_path / "out" / "runs_index.csv").read_text().splitlines()) == 2
+    whole = template.decode({"name": "c", "steps": [{"kind": "export", "fmt": "parquet", "tables": ["assignors"]}]})
+    for _ in range(2):
+        batch.run(spark, whole, [str(xml)], str(tmp_path / "conv"), convert=True, existing="skip")
+    assert sorted(p.name for p in (tmp_path / "conv").iterdir()) == ["_convert_index.csv", "in.parquet"]
+    batch.run(spark, whole, [str(xml)], str(tmp_path / "conv"), convert=True, existing="unique")
+    assert (tmp_path / "conv" / "in (2).parquet").exists()
+    assert template.needed_tables(whole) == {"assignors"} and files.inputs_columns(spark, [str(tmp_path / "conv" / "in.parquet"), str(xml)]) == {"flat": COLUMNS["assignors"]}
+    assert batch.run(spark, whole, [str(xml)], str(tmp_path / "stop"), should_stop=lambda: True)["cancelled"]
+    with pytest.raises(ValueError):
+        batch.run(spark, plan, [str(xml)], str(tmp_path / "strict"), strict=True)
+
+
+def test_code_steps(spark, xml, tmp_path):
+    (tmp_path / "codes.csv").write_text("Publication Number,CPC\nUS10987654B2,H04L 9/00;G06F 1/00\n")
+    (tmp_path / "portfolio.csv").write_text("patent,cpc\n9000001,H04L 1/00\n")
+    (tmp_path / "list.txt").write_text("US 9,000,001 B2\n\n")
+    steps = [
+        {"kind": "normalize", "table": "flat", "column": "assignee_names"},
+        {"kind": "attach_cpc_file", "source_path": str(tmp_path / "codes.csv")},
+        {"kind": "cpc_match", "portfolio_mode": "footprint_file", "portfolio_path": str(tmp_path / "portfolio.csv"), "emit_class_matches": True},
+    ]
+    plan = template.decode({"name": "c", "steps": steps})
+    settings = config.Context(config.Config.from_dict({"match": {"hit_rate_floor": 0.4}}))
+    tables = template.compile_template(spark, plan, files.load(spark, str(xml)), settings)
+    assert {r.buyer for r in tables["matched_buyers_by_portfolio_patent"].collect()} == {"BANK OF X", "GADGET LLC"}
+    assert tables["matched_buyers_by_portfolio_patent"].columns == codes.PER and tables["matched_buyers_overall"].columns == codes.OVERALL and tables["matched_cpc_classes"].columns == codes.CLASSES
+    assert template.columns_after(plan)["matched_cpc_classes"] == codes.CLASSES
+
+    asked = []
+
+    def transport(url, headers):
+        asked.append(url)
+        return 200, json.dumps({"patentFileWrapperDataBag": [{"m": {"n": n, "c": ["H04L 9/00"]}} for n in ("10987654", "9000001") if n in url]})
+
+    source = {"type": "api", "endpoint": "http://x", "api_key_env": "PATH", "patent_query_field": "m.n", "cpc_response_field": "m.c"}
+    settings = config.Context(config.Config.from_dict({"source": source, "cache": {"path": str(tmp_path / "cache")}}), True, transport)
+    plan = template.decode({"name": "c", "steps": [steps[0], {"kind": "fetch_cpc"}, {"kind": "cpc_match", "portfolio_path": str(tmp_path / "list.txt")}]})
+    for _ in range(2):  # the second time from the cache
+        tables = template.compile_template(spark, plan, files.load(spark, str(xml)), settings)
+        assert tables["matched_buyers_by_portfolio_patent"].count() == 2 and len(asked) == 2
+    offline = template.apply_step(spark, files.load(spark, str(xml)), plan.steps[1])["flat"]
+    assert {r[0] for r in offline.select("cpc_lookup_status").distinct().collect()} == {"na", "uncached"}
+    settings.config.save(str(tmp_path / "c.json"))
+    assert config.Config.load(str(tmp_path / "c.json")) == settings.config
+    query = config.Query("q", clauses=[filters.Clause("a", "equals", "b")], sort=("a", False))
+    config.dump_queries([query], str(tmp_path / "q.json"))
+    assert config.load_queries(str(tmp_path / "q.json")) == [query]
+    stores = config.Stores(str(tmp_path / "stores"))
+    stores.move_memory("/elsewhere.json")
+    assert stores.memory_path() == "/elsewhere.json" and stores.recent("b") == ["b"] and stores.recent("a") == ["a", "b"]
+
+
+def test_command_line(spark, xml, tmp_path, capsys):
+    from titleforge import cli
+
+    def run(*arguments):
+        assert cli.main([str(a) for a in arguments], spark) == 0
+        return capsys.readouterr().out
+
+    assert json.loads(run(xml, "--outdir", tmp_path / "p"))["flat"] == 4 and (tmp_path / "p" / "assignments.xlsx").exists()
+    run("ingest", xml, "--out", tmp_path / "raw")
+    (tmp_path / "g.csv").write_text("organization,assignee_id\nWidget Incorporated,w\nGadget,g\n")
+    assert "2 organizations" in run("build-reference", tmp_path / "g.csv", "--out", tmp_path / "g.parquet")
+    assert json.loads(run("build-dictionary", "--out", tmp_path / "d", "--reference", tmp_path / "g.csv")) == {"entities": 2, "aliases": 3}
+    first = json.loads(run("resolve", "--raw", tmp_path / "raw", "--dict", tmp_path / "d", "--out", tmp_path / "m"))
+    again = json.loads(run("resolve", "--raw", tmp_path / "raw", "--dict", tmp_path / "d", "--out", tmp_path / "m"))
+    assert first == {"exact": 3, "person": 1, "provisional": 1} and again == {"exact": 4, "person": 1}
+    metrics = json.loads(run("ledger", "--raw", tmp_path / "raw", "--dict", tmp_path / "d", "--out", tmp_path / "l"))
+    assert metrics["transactions_firm_to_firm"] == 1 and metrics["bridge_grant_rows"] == 1
+    (tmp_path / "c.csv").write_text("patent_id,cpc_group\n10987654,H04L 9/00\n")
+    out = run("report", "--ledger", tmp_path / "l", "--cpc-file", tmp_path / "c.csv", "--cpc-mode", "sampled")
+    assert '"cpc_hit_rate": 1.0' in out and "\tGadget\t" in out
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "one.json").write_text(json.dumps({"name": "n", "steps": [{"kind": "sort", "table": "flat", "column": "zz"}]}))
+    run("templates-summary", "--templates", tmp_path / "t")
+    assert "no column zz" in (tmp_path / "t" / "TEMPLATES.md").read_text()
+    assert json.loads(run("run", tmp_path / "t" / "one.json", xml, "--out", tmp_path / "r"))["succeeded"] == 1

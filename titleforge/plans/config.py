@@ -132,7 +132,7 @@ class Context:
             rows = codes.checkpointed(merged.select("patent_id", "cpc_codes", "fetched_at"))  # read from the folder that it goes to
             rows.write.mode("overwrite").parquet(path)
             found, _ = codes.resolve_cached(ids, spark.read.schema(CACHE).parquet(path), None, now, ttl)
-        return found
+        return codes.checkpointed(found)  # later lookups replace the cache's files
 
 
 # --- saved queries
