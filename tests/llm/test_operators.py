@@ -389,6 +389,30 @@ def test_warc(spark):
     assert warc.capture_history(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_external_merge(spark, monkeypatch):
+    """Runs, batches and groups of a few rows, a hot key, hostile URLs and repeated ids; the run sizes reach the workers by pickling."""
+    urls = ["http://a℀b.com/", "http://[::1", "http://hot.example.com/x", None, "", "://", "http://x.org:99999999/", "HTTP://EXAMPLE.COM/É"]
+    rows = [(i % 50, urls[2] if i % 2 else urls[i % len(urls)], f"text {i % 7} " * 20) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    folder = "file://" + spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/runs"
+    heads = warc.read_runs(warc.write_archives(pages), folder)
+    assert heads.filter("records > 0").count() >= 8
+    got = [tuple(r) for r in warc.merge_runs(heads, folder, fan=3).collect()]
+    keys = [warc._order(r) for r in got]
+    assert keys == sorted(keys) and len(got) == 300 and Counter(r[2] for r in got) == Counter(r[0] for r in rows)
+    assert Counter(r[0] for r in got) == Counter(warc.url_key(u) for _, u, _ in rows)
+    monkeypatch.setattr(warc, "BATCH", 4)
+    _, path = warc._open(folder)
+    runs = [sorted((f"k{RNG.randrange(5)}", RNG.randrange(3), RNG.randrange(9), 1, "d", "response", None, f"a{k}", i, 1) for i in range(RNG.randint(1, 40))) for k in range(6)]
+    runs = [sorted(r, key=warc._order) for r in runs]
+    names = [warc._write_run(folder, r)[0] for r in runs]
+    every = sorted((x for r in runs for x in r), key=warc._order)
+    assert [*warc._merged(folder, names)] == every
+    for _ in range(30):
+        low, high = sorted(warc._order(RNG.choice(every)) for _ in range(2))
+        assert [*warc._merged(folder, names, low, high)] == [x for x in every if low <= warc._order(x) < high]
+
+
 def test_loser_tree():
     for k in range(8):
         runs = [sorted(RNG.choices(range(30), k=RNG.randint(0, 9))) for _ in range(k)]

@@ -1,8 +1,8 @@
 """Operator 8: WARC archives with revisits, read back into one capture history that is ordered by URL key and time.
 
 Writing: each task writes its records to an archive of its own in the shared folder. Reading: each archive gives one run of
-captures, sorted by URL key and time. Merging: the runs' rows are dealt out by ranges of the key, and each range merges its
-k runs with a loser tree.
+captures, sorted by URL key and time, in files in the shared folder. Merging: tasks take ranges of the key, find their range in
+each run by bisection, and merge the k runs with a loser tree, a batch of each in memory.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from .common import fresh_path, materialize
 
 #: Payloads shorter than this are never revisits.
 LEAST = 100
-#: Captures in a run that is sorted in memory.
-RUN = 200_000
+#: Captures in a run that is sorted in memory, in a batch of a run's file, and runs that are merged at once.
+RUN, BATCH, FAN = 50_000, 4096, 128
+#: Batches in a sample for each range that is cut by it.
+SAMPLED = 50
 _EPOCH = datetime.datetime(2000, 1, 1)
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -74,10 +76,15 @@ class LoserTree:
 
 
 def url_key(url: str | None) -> str:
-    """Host labels in reverse, then path and query in lower case: com,example,www)/a?b. Empty for null."""
+    """Host labels in reverse, then path and query in lower case: com,example,www)/a?b. Empty for null; a URL that can't be taken
+    apart is its own key."""
     if not url:
         return ""
-    parts = urllib.parse.urlsplit(re.sub(r"[\[\]]", "", url))
+    plain = re.sub(r"[\[\]]", "", url)
+    try:
+        parts = urllib.parse.urlsplit(plain)
+    except ValueError:  # a host that normalises to signs which no host has: the whole is the key
+        return _CONTROL.sub("", plain.lower())
     host = ",".join(reversed(re.sub(r"^www\d*\.", "", parts.netloc.rpartition("@")[2].lower()).split(".")))
     return f"{host}){parts.path.lower() or '/'}" + (f"?{parts.query.lower()}" if parts.query else "")
 
@@ -197,52 +204,150 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RUN_TYPES, strict=True)], _RUN_FIELDS)
 
 
-def read_runs(manifest: DataFrame) -> DataFrame:
-    """Reads the archives of a manifest back, each as runs of captures sorted by URL key and time."""
+class Run:
+    """A file of captures in order, of which a batch at a time is in memory."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        system, path = _open(folder)
+        self.file = system.open_input_file(f"{path}/{name}")
+        self.reader = pa.ipc.open_file(self.file)
+
+    def _rows(self, at: int) -> list[tuple]:
+        return list(zip(*(c.to_pylist() for c in self.reader.get_batch(at).columns), strict=True))
+
+    def between(self, low: tuple | None, high: tuple | None) -> Iterator[tuple[tuple, tuple]]:
+        """(order, row) from low on and before high; the first batch is found by bisection."""
+        first, until = 0, self.reader.num_record_batches
+        while low is not None and until - first > 1:
+            middle = (first + until) // 2
+            first, until = (middle, until) if _order(self._rows(middle)[0]) <= low else (first, middle)
+        for at in range(first, self.reader.num_record_batches):
+            for row in self._rows(at):
+                order = _order(row)
+                if high is not None and order >= high:
+                    return
+                if low is None or order >= low:
+                    yield order, row
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def _write_run(folder: str, rows: Iterable[tuple]) -> tuple[str, int, list[tuple]]:
+    """(name, number of rows, first row of each batch) of a new run file."""
+    system, path = _open(folder)
+    system.create_dir(path, recursive=True)
+    name, count, heads, lot = f"{uuid.uuid4().hex}.arrow", 0, [], []
+    with system.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_file(out, pa.schema(list(zip(_RUN_FIELDS, _RUN_TYPES, strict=True)))) as writer:
+
+        def put() -> None:
+            nonlocal count, lot
+            heads.append(lot[0])
+            writer.write_batch(_table(lot))
+            count += len(lot)
+            lot = []
+
+        for row in rows:
+            lot.append(row)
+            if len(lot) >= BATCH:
+                put()
+        if lot:
+            put()
+    return name, count, heads
+
+
+def _merged(folder: str, names: list[str], low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
+    """The captures of several runs in order, by a loser tree; a batch of each run is in memory."""
+    runs = [Run(folder, n) for n in names]
+    try:
+        for _, row in LoserTree([r.between(low, high) for r in runs]):
+            yield row
+    finally:
+        for run in runs:
+            run.close()
+
+
+_HEADS = "run string, records long, " + _RUN_SCHEMA
+
+
+def _listed(found: tuple[str, int, list[tuple]]) -> pa.RecordBatch:
+    """A row for each batch of a run: the run's name, its captures at the first one (else 0), and the batch's first capture."""
+    name, count, heads = found
+    table = _table(heads)
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(heads)), pa.array([count] + [0] * (len(heads) - 1), pa.int64()), *table.columns], ["run", "records", *_RUN_FIELDS])
+
+
+def read_runs(manifest: DataFrame, folder: str) -> DataFrame:
+    """Reads the archives of a manifest back, once, and writes runs of captures sorted by URL key and time to files in the
+    folder. Returns a row for each batch of each run; runs of tasks that were repeated are in no row and are never read."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for archive, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, path = _open(folder)
+            for archive, where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, path = _open(where)
                 run: list[tuple] = []
                 with system.open_input_stream(f"{path}/{archive}", compression=None) as file:
                     for offset, length, x in records(file):
                         run.append((url_key(x["url"]), x["seconds"], x["page_id"], x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"], archive, offset, length))
                         if len(run) >= RUN:
-                            yield _table(sorted(run, key=_order))
+                            yield _listed(_write_run(folder, sorted(run, key=_order)))
                             run = []
                 if run:
-                    yield _table(sorted(run, key=_order))
+                    yield _listed(_write_run(folder, sorted(run, key=_order)))
 
     files = manifest.select("archive", "folder")
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(parts).mapInArrow(batches, _RUN_SCHEMA)
+    return materialize(files.repartition(parts).mapInArrow(batches, _HEADS), "warc-runs")
+
+
+def merge_runs(heads: DataFrame, folder: str, fan: int = FAN) -> DataFrame:
+    """All captures in global order of URL key, time and page_id. While there are more than `fan` runs, groups of so many are
+    merged to longer ones, a task for each group; then each task merges one range of what is left. Ranges are cut by a sample
+    of the runs' batches, so a key that many captures share is cut as well. A task holds a batch of each of its runs."""
+    spark = heads.sparkSession
+    while (count := heads.filter("records > 0").count()) > fan:
+        groups = -(-count // fan)
+        named = heads.filter("records > 0").select("run", F.pmod(F.xxhash64("run"), F.lit(groups)).alias("group")).groupBy("group").agg(F.collect_list("run").alias("runs"))
+        heads = materialize(named.select("runs").repartition(groups).mapInArrow(_longer(folder, fan), _HEADS), "warc-runs")
+
+    names = sorted(r[0] for r in heads.filter("records > 0").select("run").collect())  # `fan` at most
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    share = min(1.0, SAMPLED * parts / max(1, heads.count()))
+    dealt = F.pmod(F.xxhash64("run", "archive", "offset"), F.lit(1 << 20)) < int(share * (1 << 20))
+    cuts = sorted(_order(tuple(r)) for r in heads.filter(dealt).select(*_RUN_FIELDS).limit(2 * SAMPLED * parts).collect())
+    cuts = sorted({cuts[len(cuts) * i // parts] for i in range(1, parts)} if cuts else ())
+    edges = [None, *cuts, None]
+
+    def ranges(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for nth in batch.column(0).to_pylist():
+                out: list[tuple] = []
+                for row in _merged(folder, names, edges[nth], edges[nth + 1]):
+                    out.append(row)
+                    if len(out) >= BATCH:
+                        yield _table(out)
+                        out = []
+                if out:
+                    yield _table(out)
 
+    return spark.range(0, len(edges) - 1, 1, len(edges) - 1).mapInArrow(ranges, _RUN_SCHEMA)
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures in global order of URL key, time and page_id: ranges of the key, in each a k-way merge of its runs."""
+
+def _longer(folder: str, fan: int):
+    """Merges the runs of each row (a list of names) to one, at most `fan` at once, and lists it."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_run: dict[str, list[tuple]] = {}
         for batch in source:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_run.setdefault(row[7], []).append((_order(row), row))
-        sorted_runs = []
-        for rows in by_run.values():  # a run's rows keep their order on the way unless its blocks arrive out of turn
-            if any(a[0] > b[0] for a, b in zip(rows, rows[1:], strict=False)):
-                rows.sort(key=lambda r: r[0])
-            sorted_runs.append(rows)
-        out: list[tuple] = []
-        for _, row in LoserTree(sorted_runs):
-            out.append(row)
-            if len(out) >= 8192:
-                yield _table(out)
-                out = []
-        if out:
-            yield _table(out)
-
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(parts, "url_key", "seconds", "page_id", "archive", "offset").mapInArrow(batches, _RUN_SCHEMA)
+            for names in batch.column(0).to_pylist():
+                names = sorted(names)
+                while True:
+                    found = _write_run(folder, _merged(folder, names[:fan]))
+                    names = [*names[fan:], found[0]]
+                    if len(names) == 1:
+                        break
+                yield _listed(found)
+
+    return batches
 
 
 def capture_history(pages: DataFrame) -> DataFrame:
@@ -250,10 +355,13 @@ def capture_history(pages: DataFrame) -> DataFrame:
     key and time: page_id, payload_bytes, payload_digest (both of the full payload), record_type, refers_to, url_key, seconds
     (since 2000), archive, offset, length.
 
-    Null or empty html: an empty payload, always a response. Null url: the empty key. Null page_id: a response without an
-    id. Very long pages are one record like others; of large groups of equal pages only ids meet. Other columns are ignored.
+    Pages have no time of capture, so seconds stands in for it: page_id without its sign, modulo 10**9. Null or empty html: an
+    empty payload, always a response. Null url: the empty key. Null page_id: a response without an id; further rows with the
+    smallest page_id of a payload are responses too, as a record can't refer to its own id. Very long pages are one record
+    like others; of large groups of equal pages only ids meet. Other columns are ignored.
     """
-    merged = merge_runs(read_runs(write_archives(pages)))
+    folder = fresh_path(pages.sparkSession, "warc-files")
+    merged = merge_runs(read_runs(write_archives(pages), folder), folder)
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "seconds", "archive", "offset", "length")
 
 
