@@ -64,6 +64,35 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, 0).otherwise(F.size(F.split(trimmed, SPACE_PATTERN))).cast("long")
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands texts to Python a thousand rows at a time instead of Spark's default of ten thousand, as texts
+    are long. Another setting than the default is left as it is."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
+class Recent(dict):
+    """Remembers at least the last `size` entries, and twice as many at most: the older half goes at once."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.older = size, {}
+
+    def __missing__(self, key: object) -> object:
+        """None for an unknown key; an old one is young again."""
+        found = self.older.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: object, value: object) -> None:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 def parts(source: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so that what is made of the texts of a slice stays small."""
     for batch in source:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import modest_batches, utf8
 
 BLOCK = 576
 #: Frames coded at once.
@@ -361,7 +361,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media = encode_many([payload(t) for t in texts[at:until]])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, until - at), pa.array([*map(len, texts[at:until])], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, n_bytes long, media binary")
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, n_bytes long, media binary")
 
 
 def blocks(media: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WordHashes, gram_hashes, materialize, mix, parts, utf8
+from .common import WordHashes, gram_hashes, materialize, mix, modest_batches, parts, utf8
 from .components import connected_components
 
 #: Words in a shingle, and the similarity in percent.
@@ -235,7 +235,7 @@ def _frequent(tokens: DataFrame, most: int) -> Order:
 def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, more_orders: int = MORE_ORDERS) -> tuple[DataFrame, DataFrame]:
     """(documents, families). documents: doc_id, n, set_id for each row. families: node, root for each set that is linked with
     another set; two sets are in one family exactly if links of the given similarity lead from one to the other."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = materialize(texts.mapInArrow(_survey(words), "doc_id long, n long, set_id long, token long, " + ", ".join(f"{s} long" for s in _SKETCH)), "join-survey")
     documents = survey.filter("set_id is not null").select("doc_id", "n", "set_id", *_SKETCH)
     order = _frequent(survey.filter("token is not null").select("token", "n"), frequent)

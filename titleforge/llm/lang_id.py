@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import modest_batches
 
 #: Number of hashed n-gram features.
 FEATURES = 8192
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 labels, scores = model.predict(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, held_out boolean, lang_pred string, score double")
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -181,4 +182,4 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 columns = [pa.array(langs, pa.string()) if i == at_lang else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names).filter(kept)
 
-    return docs.mapInArrow(batches, docs.schema)
+    return modest_batches(docs).mapInArrow(batches, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, materialize, mix, utf8
+from .common import WordHashes, gram_hashes, materialize, mix, modest_batches, utf8
 
 #: Words in a window.
 WINDOW = 35
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     Rows are told apart by doc_id where it is unique and by a number of their own where it is not, so that repeated or null
     ids count as documents each.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     unique = base.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty()
     if unique:
         numbered = base.withColumn("doc_row", F.col("doc_id"))

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Recent, modest_batches
+
 SPACE = "▁"
-#: Parts and pairs of pieces that a worker remembers, each; what is beyond is worked out again.
-REMEMBERED = 100_000
+#: Parts, and pairs of pieces, that a worker remembers at least (twice as many at most); what is beyond is worked out again.
+REMEMBERED = 150_000
 _INF = float("inf")
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -100,9 +102,9 @@ class Transducer:
         self.outputs = [text.replace(SPACE, " ").encode() if kind == NORMAL else bytes([int(text[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else b"" for text, _, kind in self.pieces]
         self.parts = self._parts()
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.pieces])
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = Recent(REMEMBERED)
         self.spines: dict[str, tuple | None] = {}
-        self.cache: dict[str, bytes] = {}
+        self.cache = Recent(REMEMBERED)
 
     def _parts(self) -> re.Pattern | None:
         """Cuts the normalised input where no piece crosses: before white space, around line ends, and between a letter and
@@ -203,12 +205,11 @@ class Transducer:
             while arcs:
                 piece = arcs.pop()  # the longest first
                 if before and piece:
-                    free = pairs.get((before, piece))
+                    both = ids[before] << 32 | ids[piece]
+                    free = pairs[both]
                     if free is None:
                         free = self.spine(piece)[0] and self.adjacent(before, piece)
-                        if len(pairs) >= REMEMBERED:
-                            pairs.clear()
-                        pairs[before, piece] = free
+                        pairs.put(both, free)
                     if not free:
                         continue
                 elif piece and not self.spine(piece)[0]:
@@ -258,9 +259,7 @@ class Transducer:
         ids = self.path(part)
         found = struct.pack(f"<{len(ids)}i", *ids)
         if len(part) <= 48:
-            if len(self.cache) >= REMEMBERED:
-                self.cache.clear()
-            self.cache[part] = found
+            self.cache.put(part, found)
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -268,7 +267,7 @@ class Transducer:
         text = self.normalised(text)
         known = self.cache
         parts = self.parts.findall(text) if self.parts else [text] if text else []
-        return np.frombuffer(b"".join([known.get(p) or self._part(p) for p in parts]), "<i4")
+        return np.frombuffer(b"".join([known[p] or self._part(p) for p in parts]), "<i4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of a sequence of piece ids."""
@@ -319,4 +318,4 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) ->
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, n_tokens long, n_bytes_fallback long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", token_ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, schema)
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import modest_batches, utf8
 
 
 class LongestMatch:
@@ -126,4 +126,4 @@ def count_pieces(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 rows.append((len(counts), sum(counts), max(counts, default=0)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))] if rows else [batch.column(0)] + [pa.array([], pa.int64())] * 3, ["doc_id", "n_words", "n_pieces", "longest_word"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, n_words long, n_pieces long, longest_word long")
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, n_words long, n_pieces long, longest_word long")
