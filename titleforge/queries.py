@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import classify, scorers, text
+from .model import COLUMNS
 from .operators import codes, filters, graph, ledger, match, relational
+from .sources import xml_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -130,23 +132,6 @@ def derive_case_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.derive(F.col("text"), "lower").alias("low"), text.derive(F.concat("source", F.lit("; "), "lang"), "split_first").alias("first_part"), text.derive(F.col("source"), "upper").alias("up"))
 
 
-_FLAT = """
-SELECT o_orderkey::VARCHAR AS reel, string_agg(p_name, '; ' ORDER BY l_linenumber, p_name) AS names, count(*)::VARCHAR AS parts,
-       max(strftime(l_shipdate, '%Y%m%d')) AS executed, strftime(any_value(o_orderdate), '%Y%m%d') AS recorded
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey
-"""
-
-
-@query(f"SELECT *, coalesce(executed, recorded) AS transaction_date, CASE WHEN executed IS NOT NULL THEN 'execution' ELSE 'recorded' END AS date_source FROM ({_FLAT})")
-def flat_denormalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("list"), F.max(F.date_format("l_shipdate", "yyyyMMdd")).alias("executed"))
-    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    recorded = F.date_format("o_orderdate", "yyyyMMdd")
-    when, source = text.transaction_date(F.col("executed"), F.col("recorded"))
-    return rows.select(F.col("o_orderkey").cast("string").alias("reel"), F.array_join(F.transform("list", lambda x: x["p_name"]), "; ").alias("names"), F.size("list").cast("string").alias("parts"), "executed", recorded.alias("recorded")).select("*", when.alias("transaction_date"), source.alias("date_source"))
-
-
 # --- scalar functions
 
 _KEY = "trim(regexp_replace(upper(replace({0}, 'ß', 'SS')), '[^A-Z0-9]+', ' ', 'g'))"
@@ -172,13 +157,10 @@ _TEXTS = ("ASSIGNMENT OF ASSIGNORS INTEREST", "RELEASE BY SECURED PARTY", "SECUR
 _PICK = "[" + ", ".join(f"'{t}'" for t in _TEXTS) + f"][(o_orderkey % {len(_TEXTS)} + 1)::INT]"
 
 
-@query(
-    f"""SELECT o_orderkey, CASE WHEN regexp_matches(t, '\\bRELEASE\\b|TERMINATION\\s+(AND\\s+RELEASE|OF\\s+SECURITY)') THEN 'release'
-  WHEN regexp_matches(t, 'SECURITY\\s+(INTEREST|AGREEMENT)|FOR\\s+SECURITY|\\bLIEN\\b|COLLATERAL') THEN 'security_interest' WHEN regexp_matches(t, 'NUNC\\s+PRO\\s+TUNC') THEN 'nunc_pro_tunc'
-  WHEN regexp_matches(t, 'CORRECTIV|CORRECTION|TO\\s+CORRECT') THEN 'correction' WHEN regexp_matches(t, '\\bMERGER\\b|CHANGE\\s+OF\\s+NAME\\s+AND\\s+MERGER') THEN 'merger'
-  WHEN regexp_matches(t, 'CHANGE\\s+OF\\s+NAME|NAME\\s+CHANGE') THEN 'name_change' WHEN regexp_matches(t, '\\bLICEN[SC]E\\b') THEN 'license' WHEN regexp_matches(t, 'ASSIGN') THEN 'assignment' ELSE 'other' END AS kind
-FROM (SELECT o_orderkey, {_PICK} AS t FROM orders)"""
-)
+_CONVEYANCE = "CASE " + " ".join(f"WHEN regexp_matches({{t}}, '{p}') THEN '{k}'" for p, k in text.CONVEYANCE_RULES) + " ELSE 'other' END"
+
+
+@query(f"SELECT o_orderkey, {_CONVEYANCE.format(t='t')} AS kind FROM (SELECT o_orderkey, {_PICK} AS t FROM orders)")
 def conveyance_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = F.element_at(F.array(*[F.lit(t) for t in _TEXTS]), (F.col("o_orderkey") % len(_TEXTS) + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", text.conveyance_type(pick).alias("kind"))
@@ -247,31 +229,6 @@ def compare_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- joins, rollups and ranks
 
-@query(f"SELECT c_custkey, coalesce(a.n_nationkey, b.n_nationkey) AS n_nationkey FROM (SELECT *, {_KEY.format('c_mktsegment')} AS k FROM customer) LEFT JOIN nation a ON a.n_name = k LEFT JOIN nation b ON b.n_nationkey = c_nationkey")
-def exact_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    rows = table(spark, sf_dir, "customer").withColumn("k", text.clean_key(F.col("c_mktsegment")))
-    rows = rows.join(n.select(F.col("n_name").alias("k"), F.col("n_nationkey").alias("a")), "k", "left").join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_nationkey").alias("b")), "c_nationkey", "left")
-    return rows.select("c_custkey", F.coalesce("a", "b").alias("n_nationkey"))
-
-
-@query("SELECT o_orderkey, coalesce(x, o_orderdate) AS effective, CASE WHEN x IS NOT NULL THEN 'execution' ELSE 'recorded' END AS date_source FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS x FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
-def txn_effective_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    executed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("x"))
-    rows = table(spark, sf_dir, "orders").join(executed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select("o_orderkey", F.coalesce("x", "o_orderdate").alias("effective"), F.when(F.col("x").isNotNull(), "execution").otherwise("recorded").alias("date_source"))
-
-
-@query(
-    """WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT s_nationkey)) AS sellers FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
-SELECT k, sellers, c_nationkey FROM s JOIN orders ON o_orderkey = k JOIN customer ON c_custkey = o_custkey WHERE NOT list_has_any(sellers, [c_nationkey])"""
-)
-def firm_to_firm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sellers = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set("s_nationkey")).alias("sellers"))
-    rows = sellers.join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("k")).join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return rows.filter(ledger.disjoint(F.col("sellers"), F.array("c_nationkey"))).select("k", "sellers", "c_nationkey")
-
-
 _PROPERTIES = "SELECT l_orderkey::VARCHAR AS reel_no, l_linenumber::VARCHAR AS frame_no, p_type AS invention_title, 'US0' || l_partkey AS doc_number, ['X0', 'B1', 'A1'][(l_partkey % 3 + 1)::INT] AS doc_kind FROM lineitem JOIN part ON p_partkey = l_partkey"
 
 
@@ -283,33 +240,123 @@ def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT reel_no, doc_number, first_value(doc_number) OVER (PARTITION BY reel_no, coalesce(nullif(invention_title, ''), doc_number)
-  ORDER BY CASE doc_kind WHEN 'X0' THEN 0 ELSE 1 END, doc_number NULLS LAST) AS canonical_property_id FROM ({_PROPERTIES})"""
+  ORDER BY CASE doc_kind WHEN 'X0' THEN 0 WHEN 'B1' THEN 1 ELSE 2 END, doc_number NULLS LAST) AS canonical_property_id FROM ({_PROPERTIES})"""
 )
 def canonical_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.canonical_properties(_properties(spark, sf_dir)).select("reel_no", "doc_number", "canonical_property_id")
 
 
-@query("SELECT DISTINCT o_custkey, l_orderkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
-def bridge_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array("o_custkey")).alias("o_custkey"))
-    return deals.join(table(spark, sf_dir, "lineitem"), "l_orderkey").select("o_custkey", "l_orderkey", "l_partkey").distinct()
+# The ledger's tables from the test tables: an order is a transaction of its lines' suppliers to its customer over its parts.
+_ASSIGNMENTS = f"SELECT o_orderkey::VARCHAR AS reel_no, '1' AS frame_no, {_PICK} AS conveyance_text, strftime(o_orderdate, '%Y%m%d') AS recorded_date, o_orderpriority AS correspondent_name FROM orders"
+_ASSIGNORS = "SELECT l_orderkey::VARCHAR AS reel_no, '1' AS frame_no, s_name AS name, CASE WHEN l_linenumber = 1 THEN '' ELSE strftime(l_shipdate, '%Y%m%d') END AS execution_date, l_linenumber FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"
+_ASSIGNEES = "SELECT o_orderkey::VARCHAR AS reel_no, '1' AS frame_no, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey"
+_RESOLUTION = """SELECT s_name AS mention, 's' || s_suppkey AS entity_id, upper(s_name) AS canonical_name, CASE WHEN s_acctbal < 0 THEN 'individual' ELSE 'company' END AS entity_type, 'exact' AS resolution_source, 1.0::DOUBLE AS resolution_confidence, 'n' || s_nationkey AS ultimate_parent_id FROM supplier
+UNION ALL SELECT c_name, CASE WHEN c_acctbal < 0 THEN 'prov-' ELSE 'c' END || c_custkey, upper(c_name), 'company', 'fuzzy', 0.95::DOUBLE, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE 'n' || c_nationkey END FROM customer"""
+_PROPS = "SELECT l_orderkey::VARCHAR AS reel_no, '1' AS frame_no, p_type AS invention_title, 'US0' || l_partkey AS number, ['X0', 'B1', 'A1'][(l_partkey % 3 + 1)::INT] AS kind, strftime(l_shipdate, '%Y%m%d') AS doc_date FROM lineitem JOIN part ON p_partkey = l_partkey"
 
 
-_BUYERS = """WITH d AS (SELECT o_custkey AS entity_id, count(*) AS deals_count, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders GROUP BY 1),
-p AS (SELECT o_custkey AS entity_id, count(DISTINCT l_partkey) AS patents_count FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
-SELECT entity_id, deals_count, coalesce(patents_count, 0) AS patents_count, first_date, last_date FROM d LEFT JOIN p USING (entity_id)"""
+def _party_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    orders, lines, parts, suppliers, customers = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "supplier", "customer"))
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    key = lambda c: (F.col(c).cast("string").alias("reel_no"), F.lit("1").alias("frame_no"))
+    pick = F.element_at(F.array(*[F.lit(t) for t in _TEXTS]), (F.col("o_orderkey") % len(_TEXTS) + 1).cast("int"))
+    kind = F.get(F.array(F.lit("X0"), F.lit("B1"), F.lit("A1")), (F.col("l_partkey") % 3).cast("int"))
+    sold = lines.join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"))
+    parent = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.concat(F.lit("n"), "c_nationkey"))
+    sellers = suppliers.select(F.col("s_name").alias("mention"), F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.upper("s_name").alias("canonical_name"), F.when(F.col("s_acctbal") < 0, "individual").otherwise("company").alias("entity_type"), F.lit("exact").alias("resolution_source"), F.lit(1.0).alias("resolution_confidence"), F.concat(F.lit("n"), "s_nationkey").alias("ultimate_parent_id"))
+    buyers = customers.select("c_name", F.concat(F.when(F.col("c_acctbal") < 0, "prov-").otherwise("c"), "c_custkey"), F.upper("c_name"), F.lit("company"), F.lit("fuzzy"), F.lit(0.95), parent)
+    return {
+        "assignments": orders.select(*key("o_orderkey"), pick.alias("conveyance_text"), day("o_orderdate").alias("recorded_date"), F.col("o_orderpriority").alias("correspondent_name")),
+        "assignors": sold.select(*key("l_orderkey"), F.col("s_name").alias("name"), F.when(F.col("l_linenumber") == 1, "").otherwise(day("l_shipdate")).alias("execution_date"), "l_linenumber"),
+        "assignees": orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).select(*key("o_orderkey"), F.col("c_name").alias("name")),
+        "properties": lines.join(parts, F.col("p_partkey") == F.col("l_partkey")).select(*key("l_orderkey"), F.col("p_type").alias("invention_title"), F.concat(F.lit("US0"), "l_partkey").alias("doc_number"), kind.alias("doc_kind"), day("l_shipdate").alias("doc_date")),
+        "resolution": sellers.union(buyers),
+    }
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    t = _party_tables(spark, sf_dir)
+    return ledger.build_ledger(t["assignments"], t["assignors"], t["assignees"], t["properties"], t["resolution"])
+
+
+_LEDGER = f"""WITH r AS ({_RESOLUTION}),
+typed AS (SELECT *, {_CONVEYANCE.format(t='conveyance_text')} AS conveyance_type FROM ({_ASSIGNMENTS})),
+executed AS (SELECT reel_no, frame_no, max(nullif(execution_date, '')) AS x FROM ({_ASSIGNORS}) GROUP BY ALL),
+txn AS (SELECT t.*, coalesce(x, nullif(recorded_date, '')) AS transaction_date, CASE WHEN x IS NOT NULL THEN 'execution' ELSE 'recorded' END AS date_source FROM typed t LEFT JOIN executed USING (reel_no, frame_no) WHERE conveyance_type = 'assignment'),
+sellers AS (SELECT reel_no, frame_no, list_sort(list(DISTINCT entity_id)) AS seller_entity_ids, list_sort(list(DISTINCT canonical_name)) AS seller_canonical_names, list_sort(list(DISTINCT coalesce(nullif(ultimate_parent_id, ''), entity_id))) AS seller_parent_ids, bool_and(entity_type = 'company') AS firms FROM ({_ASSIGNORS}) JOIN r ON name = mention WHERE name <> '' GROUP BY ALL),
+buyers_of AS (SELECT reel_no, frame_no, list_sort(list(DISTINCT entity_id)) AS buyer_entity_ids, list_sort(list(DISTINCT canonical_name)) AS buyer_canonical_names, list_sort(list(DISTINCT coalesce(nullif(ultimate_parent_id, ''), entity_id))) AS buyer_parent_ids, bool_and(entity_type = 'company') AS firms FROM ({_ASSIGNEES}) JOIN r ON name = mention WHERE name <> '' GROUP BY ALL),
+typed_props AS (SELECT *, {_TYPE} AS doc_type FROM ({_PROPS})),
+props AS (SELECT *, CASE WHEN doc_type = 'grant' THEN ltrim(number[3:], '0') ELSE '' END AS patent_id_normalized,
+  first_value(number) OVER (PARTITION BY reel_no, frame_no, coalesce(nullif(invention_title, ''), number) ORDER BY CASE doc_type WHEN 'application' THEN 1 WHEN 'grant' THEN 2 WHEN 'publication' THEN 3 ELSE 4 END, number) AS canonical_property_id FROM typed_props),
+counts AS (SELECT reel_no, frame_no, count(DISTINCT canonical_property_id) AS n FROM props GROUP BY ALL),
+ledger AS (SELECT t.reel_no, t.frame_no, conveyance_type, conveyance_text AS conveyance_text_raw, transaction_date, date_source, recorded_date, seller_entity_ids, seller_canonical_names, buyer_entity_ids, buyer_canonical_names, seller_parent_ids, buyer_parent_ids, coalesce(n, 0)::INT AS property_count, correspondent_name
+  FROM txn t JOIN sellers s USING (reel_no, frame_no) JOIN buyers_of b USING (reel_no, frame_no) LEFT JOIN counts USING (reel_no, frame_no) WHERE s.firms AND b.firms AND NOT list_has_any(seller_parent_ids, buyer_parent_ids)),
+deals AS (SELECT reel_no, frame_no, transaction_date, unnest(buyer_entity_ids) AS entity_id FROM ledger),
+bridge AS (SELECT DISTINCT entity_id, reel_no, frame_no, canonical_property_id, number AS doc_number_raw, kind AS kind_code, doc_type, patent_id_normalized, doc_date, invention_title, transaction_date, '' AS cpc_lookup_status FROM deals JOIN props USING (reel_no, frame_no)),
+named AS (SELECT entity_id, unnest(arg_min(struct_pack(canonical_name, entity_type, resolution_source, resolution_confidence, ultimate_parent_id), mention)) FROM r GROUP BY entity_id),
+buyers AS (SELECT d.entity_id, r.canonical_name, r.entity_type, r.resolution_source, r.resolution_confidence, r.ultimate_parent_id, coalesce(pr.canonical_name, r.canonical_name) AS ultimate_parent_name, '' AS country, '' AS sector, d.deals_count, coalesce(p.patents_count, 0) AS patents_count, first_acquisition_date, last_acquisition_date, starts_with(d.entity_id, 'prov-') AS is_off_gazetteer
+  FROM (SELECT entity_id, count(*) AS deals_count, min(transaction_date) AS first_acquisition_date, max(transaction_date) AS last_acquisition_date FROM deals GROUP BY 1) d JOIN named r USING (entity_id) LEFT JOIN named pr ON pr.entity_id = r.ultimate_parent_id
+  LEFT JOIN (SELECT entity_id, count(DISTINCT canonical_property_id) AS patents_count FROM bridge GROUP BY 1) p ON p.entity_id = d.entity_id) """
+
+query(_LEDGER + "SELECT * FROM ledger", "firm_to_firm")(lambda s, d: _ledger(s, d)["transaction_ledger"])
+query(_LEDGER + "SELECT * FROM bridge", "bridge_explode")(lambda s, d: _ledger(s, d)["buyer_property_bridge"])
+query(_LEDGER + "SELECT * FROM buyers", "buyers_summary")(lambda s, d: _ledger(s, d)["buyers"])
+query(_LEDGER + "SELECT reel_no, frame_no, conveyance_type, conveyance_text AS conveyance_text_raw, transaction_date, date_source, recorded_date, correspondent_name FROM txn", "txn_effective_date")(lambda s, d: ledger.transactions(*(_party_tables(s, d)[t] for t in ("assignments", "assignors"))))
+for _by in ("patents", "deals"):
+    query(_LEDGER + f"SELECT * FROM buyers ORDER BY {_by}_count DESC, entity_id LIMIT 20", f"top_buyers_{_by}")(lambda s, d, by=_by: ledger.top_buyers(_ledger(s, d)["buyers"], by, 20))
+query(
+    _LEDGER + "SELECT row_number() OVER (ORDER BY patents_count DESC, entity_id)::INT AS place, entity_id, canonical_name, entity_type, resolution_source, is_off_gazetteer, deals_count, patents_count, first_acquisition_date, last_acquisition_date FROM buyers ORDER BY place LIMIT 50",
+    "leaderboard",
+)(lambda s, d: (lambda made: ledger.leaderboard(made["buyers"], made["buyer_property_bridge"], "patents", 50))(_ledger(s, d)))
+
 
+@query(
+    f"""WITH a AS (SELECT reel_no, string_agg(name, '; ' ORDER BY l_linenumber, name) AS assignor_names, count(*)::VARCHAR AS assignor_count, max(nullif(execution_date, '')) AS execution_date FROM ({_ASSIGNORS}) GROUP BY reel_no)
+SELECT h.reel_no, conveyance_text, correspondent_name, assignor_names, e.name AS assignee_names, assignor_count, '1' AS assignee_count, execution_date, coalesce(execution_date, recorded_date) AS transaction_date, CASE WHEN execution_date IS NOT NULL THEN 'execution' ELSE 'recorded' END AS date_source, invention_title, number AS doc_number, kind AS doc_kind, doc_date
+FROM ({_ASSIGNMENTS}) h JOIN a USING (reel_no) JOIN ({_ASSIGNEES}) e USING (reel_no) JOIN ({_PROPS}) p USING (reel_no)"""
+)
+def flat_denormalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records, as the XML source gives them, and their flat table."""
+    t = _party_tables(spark, sf_dir)
+    text_of = lambda names, have: [F.col(n) if n in have else F.lit(None).cast("string").alias(n) for n in names]
+    sellers = t["assignors"].groupBy("reel_no").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "name", "execution_date"))).alias("list"))
+    sellers = sellers.select("reel_no", F.transform("list", lambda x: F.struct(x["name"].alias("name"), x["execution_date"].alias("execution_date"), F.lit(None).cast("string").alias("date_acknowledged"))).alias("assignors"))
+    buyers = t["assignees"].groupBy("reel_no").agg(F.collect_list(F.struct("name")).alias("assignees"))
+    wanted = COLUMNS["properties"][2:]
+    props = t["properties"].groupBy("reel_no").agg(F.collect_list(F.struct(*text_of(wanted, t["properties"].columns))).alias("properties"))
+    records = t["assignments"].select(*text_of(COLUMNS["assignments"], t["assignments"].columns)).join(sellers, "reel_no").join(buyers, "reel_no").join(props, "reel_no")
+    return xml_records.flat_table(records).select("reel_no", "conveyance_text", "correspondent_name", "assignor_names", "assignee_names", "assignor_count", "assignee_count", "execution_date", "transaction_date", "date_source", "invention_title", "doc_number", "doc_kind", "doc_date")
 
-@query(_BUYERS)
-def buyers_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    deals = o.groupBy(F.col("o_custkey").alias("entity_id")).agg(F.count("*").alias("deals_count"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"))
-    patents = o.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("entity_id")).agg(F.count_distinct("l_partkey").alias("patents_count"))
-    return deals.join(patents, "entity_id", "left").select("entity_id", "deals_count", F.coalesce("patents_count", F.lit(0)).alias("patents_count"), "first_date", "last_date")
 
+_MENTIONS = "SELECT upper(s_name) || ', Inc.' AS mention FROM supplier UNION SELECT s_name FROM supplier UNION SELECT 'Doe, Jane' || chr(65 + n_nationkey::INT) FROM nation UNION SELECT '--'"
 
-for _by in ("patents", "deals"):
-    query(f"SELECT * FROM ({_BUYERS}) ORDER BY {_by}_count DESC, entity_id LIMIT 20", f"top_buyers_{_by}")(lambda s, d, by=_by: ledger.top_buyers(buyers_summary(s, d), by, 20))
+
+@query(
+    f"""WITH m AS ({_MENTIONS}), k AS (SELECT mention, {_KEY.format('mention')} AS key, trim(regexp_replace({_KEY.format('mention')}, '(?:\s+(?:{'|'.join(text.LEGAL_SUFFIXES)}))+$', '')) AS bare FROM m)
+SELECT mention, CASE WHEN key = '' THEN '' WHEN s_suppkey IS NOT NULL THEN 'w' || s_suppkey ELSE 'person-' || substr(sha1(key), 1, 16) END AS entity_id, CASE WHEN key = '' THEN 'unresolved' WHEN s_suppkey IS NOT NULL THEN 'exact' ELSE 'person' END AS resolution_source,
+  CASE WHEN key = '' THEN 0.0 WHEN s_suppkey IS NOT NULL THEN 1.0 ELSE 0.95 END::DOUBLE AS resolution_confidence, CASE WHEN key = '' THEN 'unknown' WHEN s_suppkey IS NOT NULL THEN 'company' ELSE 'individual' END AS entity_type
+FROM k LEFT JOIN supplier ON {_KEY.format('s_name')} = bare"""
+)
+def exact_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade over names that its exact and person stages resolve, as SQL can say."""
+    suppliers = table(spark, sf_dir, "supplier")
+    rows = suppliers.select(F.concat("s_name", F.lit(" LLC")).alias("organization"), F.concat(F.lit("w"), "s_suppkey").alias("assignee_id"), F.col("s_suppkey").alias("_ord"))
+    entities, aliases = match.build_dictionary(match.build_reference(rows, "organization", "assignee_id", "_ord"))
+    people = table(spark, sf_dir, "nation").select(F.concat(F.lit("Doe, Jane"), F.char(F.col("n_nationkey") + 65)))
+    mentions = suppliers.select(F.concat(F.upper("s_name"), F.lit(", Inc.")).alias("mention")).union(suppliers.select("s_name")).union(people).union(spark.createDataFrame([("--",)], "mention string"))
+    return match.resolve_mentions(mentions, entities, aliases).select("mention", "entity_id", "resolution_source", "resolution_confidence", "entity_type")
+
+
+@query(
+    """SELECT buyer, patent_id, list_sort(list_distinct(flatten(list(codes)))) AS codes, max(year) AS year FROM (
+  SELECT 'c' || o_custkey AS buyer, CASE WHEN l_partkey % 3 = 1 THEN l_partkey::VARCHAR ELSE '' END AS patent_id, [upper(replace(p_type, ' ', ''))[1:4]] AS codes, year(o_orderdate)::INT AS year FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
+WHERE patent_id <> '' GROUP BY buyer, patent_id"""
+)
+def buyer_patents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    kind = F.get(F.array(F.lit("X0"), F.lit("B1"), F.lit("A1")), (F.col("l_partkey") % 3).cast("int"))
+    df = rows.select(F.concat(F.lit("c"), "o_custkey").alias("buyer"), F.concat(F.lit("US0"), "l_partkey").alias("doc_number"), kind.alias("doc_kind"), F.date_format("o_orderdate", "yyyyMMdd").alias("transaction_date"), F.array("p_type").alias("cpc_codes"))
+    return codes.buyer_patents(df, "buyer").select("buyer", "patent_id", "codes", "year")
 
 
 @query("SELECT entity_id, doc_number_raw FROM (SELECT o_custkey AS entity_id, o_orderkey AS doc_number_raw, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
@@ -387,6 +434,7 @@ query(f"SELECT patent_id, cpc_codes, CASE WHEN p_partkey % 6 = 0 THEN 50.0 ELSE
 
 # --- similarity and entity resolution
 
+_JARO = "SELECT p.p_partkey, round(100 * jaro_winkler_similarity(p.p_name, o.p_name), 6) AS score FROM part p JOIN part o ON o.p_partkey + 1 = p.p_partkey"
 for _scorer in scorers.SCORERS:
 
     def _scored(spark: SparkSession, sf_dir: str, scorer: str = _scorer) -> DataFrame:
@@ -394,7 +442,7 @@ for _scorer in scorers.SCORERS:
         other = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("other"))
         return p.join(other, "p_partkey").select("p_partkey", F.round(scorers.score(F.col("p_name"), F.col("other"), scorer), 6).alias("score"))
 
-    query(None, f"fuzzy_{_scorer}")(_scored)
+    query(_JARO if _scorer == "jaro_winkler" else None, f"fuzzy_{_scorer}")(_scored)
 
 
 @query()
