@@ -376,3 +376,16 @@ def test_command_line(spark, xml, tmp_path, capsys):
     run("templates-summary", "--templates", tmp_path / "t")
     assert "no column zz" in (tmp_path / "t" / "TEMPLATES.md").read_text()
     assert json.loads(run("run", tmp_path / "t" / "one.json", xml, "--out", tmp_path / "r"))["succeeded"] == 1
+
+
+def test_name_model(spark, tmp_path):
+    df = spark.createDataFrame([("Zorbo Quant",), ("Mary Major",), ("Widget Inc",), ("Doe, Jane",), ("Zorbo",), ("",)], "n string")
+    model = classify.NameModel({" ZOR": 4.0, " MAR": -4.0}, (0.0, 0.0, 0.0, 0.5, 0.0), -0.5)
+    model.save(str(tmp_path / "m.json"))
+    assert classify.NameModel.load(str(tmp_path / "m.json")) == model and classify.NameModel.load(str(tmp_path / "none.json")) is None
+    got = [r[0] for r in df.select(classify.classify(df.n, "model", model)).collect()]
+    assert got == ["company", "individual", "company", "individual", "unknown", "unknown"]
+    flags = df.select(*[f.alias(f"f{i}") for i, f in enumerate(classify.token_flags(df.n))]).collect()
+    assert tuple(flags[2]) == (True, False, False, True, False) and tuple(flags[3])[1]
+    with pytest.warns(UserWarning):
+        assert [r[0] for r in df.select(classify.classify(df.n, "probablepeople")).collect()][0] == "individual"

@@ -332,7 +332,7 @@ _MENTIONS = "SELECT upper(s_name) || ', Inc.' AS mention FROM supplier UNION SEL
 
 
 @query(
-    f"""WITH m AS ({_MENTIONS}), k AS (SELECT mention, {_KEY.format('mention')} AS key, trim(regexp_replace({_KEY.format('mention')}, '(?:\s+(?:{'|'.join(text.LEGAL_SUFFIXES)}))+$', '')) AS bare FROM m)
+    f"""WITH m AS ({_MENTIONS}), k AS (SELECT mention, {_KEY.format('mention')} AS key, trim(regexp_replace({_KEY.format('mention')}, '(?:\\s+(?:{'|'.join(text.LEGAL_SUFFIXES)}))+$', '')) AS bare FROM m)
 SELECT mention, CASE WHEN key = '' THEN '' WHEN s_suppkey IS NOT NULL THEN 'w' || s_suppkey ELSE 'person-' || substr(sha1(key), 1, 16) END AS entity_id, CASE WHEN key = '' THEN 'unresolved' WHEN s_suppkey IS NOT NULL THEN 'exact' ELSE 'person' END AS resolution_source,
   CASE WHEN key = '' THEN 0.0 WHEN s_suppkey IS NOT NULL THEN 1.0 ELSE 0.95 END::DOUBLE AS resolution_confidence, CASE WHEN key = '' THEN 'unknown' WHEN s_suppkey IS NOT NULL THEN 'company' ELSE 'individual' END AS entity_type
 FROM k LEFT JOIN supplier ON {_KEY.format('s_name')} = bare"""
