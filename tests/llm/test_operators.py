@@ -288,6 +288,48 @@ def test_flac_reads_linear_predictors():
     assert out[0].tolist() == samples and ends[0] == len(frame)
 
 
+def test_flac_reads_foreign_streams():
+    """Streams written bit by bit: predictors of one order and several precisions, parameters of 5 bits, escaped partitions, and
+    seek tables that are sparse or left out; all in one call."""
+    one = lambda data, table, wide: int(flac._checksums(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]), table, wide)[0])
+
+    def frame(number, samples, precision, method, split, escaped):
+        weights, shift = (3, -1), 1
+        bits = "".join(f"{s & 255:08b}" for s in samples[:2]) + f"{precision - 1:04b}{shift:05b}" + "".join(f"{w & (1 << precision) - 1:0{precision}b}" for w in weights) + f"{method:02b}{split:04b}"
+        size = 576 >> split
+        for n in range(2, 576):
+            if n == 2 or n % size == 0:
+                plain, k, raw = (n // size) in escaped, 3, 12 if n // size % 2 else 10
+                bits += f"{(1 << 4 + method) - 1 if plain else k:0{4 + method}b}" + (f"{raw:05b}" if plain else "")
+            rest = samples[n] - (sum(w * samples[n - 1 - i] for i, w in enumerate(weights)) >> shift)
+            folded = rest * 2 if rest >= 0 else -rest * 2 - 1
+            bits += f"{rest & (1 << raw) - 1:0{raw}b}" if plain else "0" * (folded >> k) + "1" + f"{folded & (1 << k) - 1:0{k}b}"
+        bits += "0" * (-len(bits) % 8)
+        head = bytes([0xFF, 0xF8, 0x24, 0x02]) + flac._number(number)
+        out = head + bytes([one(head, flac.CRC8, 8), (32 + 1) << 1]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+        return out + one(out, flac.CRC16, 16).to_bytes(2, "big")
+
+    def whole(points, swapped=False):
+        rows = [[RNG.randrange(-128, 128) if b == 1 else ((i * 7 + b) % 23) - 11 for i in range(576)] for b in range(4)]
+        kinds = [(5, 0, 0, ()), (9, 1, 2, (1,)), (15, 0, 1, (0, 1)), (5, 1, 0, (0,))]
+        frames = [frame(b if not swapped else 3 - b, r, *k) for b, (r, k) in enumerate(zip(rows, kinds, strict=True))]
+        raw = bytes(s + 128 for r in rows for s in r)
+        starts = np.cumsum([0, *map(len, frames)])[:-1].tolist()
+        file = flac.stream(b"".join(frames), starts, len(raw), hashlib.md5(raw.translate(flac._SIGNED)).digest())
+        head = flac.Stream(file)
+        table = b"".join(p.to_bytes(8, "big") + at.to_bytes(8, "big") + (576).to_bytes(2, "big") for p, at in head.points[:points])
+        return file[:42] + bytes([0x83]) + len(table).to_bytes(3, "big") + table + file[head.first :], raw
+
+    files, raws = zip(*(whole(points) for points in (4, 1, 0, 4)), strict=True)
+    own = flac.encode_many([raws[0]])
+    assert flac.decode_many([*files, *own]) == [*raws, raws[0]]
+    for file, raw in zip(files, raws, strict=True):
+        for first, count in ((0, 5), (570, 20), (1700, 4000), (2303, 1)):
+            assert flac.read_samples(file, first, count) == raw[first : first + count]
+    with pytest.raises(ValueError):
+        flac.decode_many([whole(4, swapped=True)[0]])
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=6).tolist(), "x") for i in range(300)] + [(1000 + i, [0.5] * 6, "x") for i in range(40)]

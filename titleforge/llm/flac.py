@@ -195,8 +195,14 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
         return value - ((value >> (wide - 1)) << wide)
 
     out, ends = np.zeros((len(starts), BLOCK), np.int64), np.zeros(len(starts), np.int64)
-    for kind in np.unique(kinds).tolist():
+    precisions = np.zeros(len(starts), np.int64)  # predictors of one order may differ in it: they are read apart
+    for kind in np.unique(kinds[kinds >= LPC]).tolist():
         of = np.flatnonzero(kinds == kind)
+        precisions[of] = read((head[of] + 2) * 8 + 8 * (kind - LPC + 1), 4) + 1
+        if (precisions[of] == 16).any():
+            raise ValueError("a predictor's precision is invalid")
+    for kind, precision in sorted(set(zip(kinds.tolist(), precisions.tolist(), strict=True))):
+        of = np.flatnonzero((kinds == kind) & (precisions == precision))
         at = (head[of] + 2) * 8
         if kind == CONSTANT:
             out[of], at = signed(read(at, 8), 8)[:, None], at + 8
@@ -210,39 +216,41 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
                 values[i], at = signed(read(at, 8), 8), at + 8
             weights, shift = None, 0
             if kind >= LPC:
-                precision, at = read(at, 4) + 1, at + 4
-                if len(np.unique(precision)) > 1:
-                    raise ValueError("predictors of one order must have one precision in a batch")
-                shift, at = read(at, 5), at + 5
+                shift, at = read(at + 4, 5), at + 9
                 weights = np.zeros((order, len(of)), np.int64)
                 for i in range(order):
-                    weights[i], at = signed(read(at, int(precision[0])), int(precision[0])), at + int(precision[0])
-            method = read(at, 2)
-            splits = read(at + 2, 4)
-            if method.any():
-                raise ValueError("only Rice codes with parameters of 4 bits are read")
+                    weights[i], at = signed(read(at, precision), precision), at + precision
+            method, splits = read(at, 2), read(at + 2, 4)
+            if (method > 1).any():
+                raise ValueError("unknown code of residuals")
             at = at + 6
-            if len(np.unique(splits)) > 1:
-                groups = [np.flatnonzero(splits == s) for s in np.unique(splits)]
-            else:
-                groups = [np.arange(len(of))]
-            for group in groups:
-                here, partition = at[group], BLOCK >> int(splits[group[0]])
-                k = np.zeros(len(group), np.int64)
+            for wide, split in sorted(set(zip((4 + method).tolist(), splits.tolist(), strict=True))):
+                group = np.flatnonzero((method == wide - 4) & (splits == split))
+                here, partition, escape = at[group], BLOCK >> split, (1 << wide) - 1
+                k, raw = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+                if partition <= order:
+                    raise ValueError("a partition is shorter than the predictor")
                 for i in range(order, BLOCK):
                     if i == order or i % partition == 0:
-                        k, here = read(here, 4), here + 4
-                        if (k == 15).any():
-                            raise ValueError("escaped partitions aren't read")
+                        k, here = read(here, wide), here + wide
+                        plain = k == escape  # residuals as they are, in so many bits
+                        raw = np.where(plain, read(here, 5), 0)
+                        here = here + 5 * plain
+                        if (raw > 16).any() or (k[~plain] > 16).any():
+                            raise ValueError("residuals of more than 16 bits don't belong to 8-bit samples")
                     stop = following[np.minimum(here, top)].astype(np.int64)
-                    folded = (stop - here) << k | read(stop + 1, k)
-                    here = stop + 1 + k
-                    values[i, group] = (folded >> 1) ^ -(folded & 1)
+                    low = np.where(plain, 0, k)
+                    folded = (stop - here) << low | read(stop + 1, low)
+                    values[i, group], after = (folded >> 1) ^ -(folded & 1), stop + 1 + low
+                    if plain.any():
+                        value = read(here, raw)
+                        whole = np.where(raw > 0, value - ((value >> np.maximum(raw - 1, 0)) << raw), 0)
+                        values[i, group], after = np.where(plain, whole, values[i, group]), np.where(plain, here + raw, after)
+                    here = after
                 at[group] = here
             if kind < LPC:  # a fixed predictor of order o is undone by o running sums
                 for o in range(order, 0, -1):
-                    seed = np.diff(values[:order], n=o - 1, axis=0)[0] if o > 1 else values[0]
-                    values = _sum_from(values, order, o, seed)
+                    values = _sum_from(values, order, o)
             else:
                 for i in range(order, BLOCK):
                     values[i] += (weights * values[i - order : i][::-1]).sum(0) >> shift
@@ -257,7 +265,7 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return out.astype(np.int32), number, ends
 
 
-def _sum_from(values: np.ndarray, order: int, level: int, seed: np.ndarray) -> np.ndarray:
+def _sum_from(values: np.ndarray, order: int, level: int) -> np.ndarray:
     """From the level-th differences after the warm-up samples to the differences one level lower."""
     warm = values[:order].copy()
     last = np.diff(warm, n=level - 1, axis=0)[-1] if level > 1 else warm[-1]
@@ -297,46 +305,57 @@ _SIGNED = bytes((b - 128) % 256 for b in range(256))
 
 
 def decode_many(files: list[bytes]) -> list[bytes]:
-    """The payloads of FLAC files, verified."""
+    """The payloads of FLAC files, verified. Files with a seek point for each block are decoded together, block by block at
+    once; others frame after frame. Each frame has to bear the number of its place."""
     heads = [Stream(f) for f in files]
+    count = [-(-h.samples // BLOCK) for h in heads]
+    whole = [[p[0] for p in h.points] == [*range(0, n * BLOCK, BLOCK)] for h, n in zip(heads, count, strict=True)]
     bases = np.cumsum([0, *map(len, files)])
     data = np.frombuffer(b"".join(files), np.uint8)
-    starts = np.concatenate([np.array([p[1] for p in h.points], np.int64) + h.first + base for h, base in zip(heads, bases, strict=False)] or [np.zeros(0, np.int64)])
+    places = [np.array([p[1] for p in h.points] if ok else (), np.int64) + h.first + base for h, base, ok in zip(heads, bases, whole, strict=False)]
+    starts = np.concatenate([*places, np.zeros(0, np.int64)])
+    wanted = np.concatenate([*(np.arange(len(p)) for p in places), np.zeros(0, np.int64)])
     pieces, at = [], 0
     while at < len(starts):
         until = min(len(starts), at + BATCH)
         low = int(starts[at])
         high = int(starts[until]) if until < len(starts) else len(data)
-        samples, _, _ = decode_frames(data[low:high], starts[at:until] - low)
+        samples, numbers, _ = decode_frames(data[low:high], starts[at:until] - low)
+        if (numbers != wanted[at:until]).any():
+            raise ValueError("a frame stands at another's place")
         pieces.append((samples + 128).astype(np.uint8).tobytes())
         at = until
-    whole, out, row = b"".join(pieces), [], 0
-    for head in heads:
-        size = len(head.points) * BLOCK
-        raw = whole[row : row + size][: head.samples]
-        row += size
+    together, out, row = b"".join(pieces), [], 0
+    for file, head, ok in zip(files, heads, whole, strict=True):
+        if ok:
+            size = len(head.points) * BLOCK
+            raw, row = together[row : row + size][: head.samples], row + size
+        else:
+            raw = _in_turn(np.frombuffer(file, np.uint8)[head.first :], 0, 0, head.samples)
         if hashlib.md5(raw.translate(_SIGNED)).digest() != head.md5:
             raise ValueError("the samples' MD5 is wrong")
         out.append(raw)
     return out
 
 
-def read_samples(file: bytes, first: int, count: int) -> bytes:
-    """Payload bytes [first, first + count): decoding starts at the seek point before and ends with the last block needed."""
-    head = Stream(file)
-    at = 0
-    for sample, offset in head.points:
-        if sample <= first:
-            begin, at = sample, offset
-    data = np.frombuffer(file, np.uint8)[head.first :]
-    if not head.points:
-        begin = 0
+def _in_turn(frames: np.ndarray, at: int, begin: int, until: int) -> bytes:
+    """Payload bytes [begin, until) from the frame at a byte that has sample `begin` first."""
     out, position = [], begin
-    while position < min(first + count, head.samples):
-        samples, _, ends = decode_frames(data, np.array([at]))
+    while position < until:
+        samples, numbers, ends = decode_frames(frames, np.array([at]))
+        if numbers[0] * BLOCK != position:
+            raise ValueError("a frame stands at another's place")
         out.append((samples + 128).astype(np.uint8).tobytes())
         position, at = position + BLOCK, int(ends[0])
-    return b"".join(out)[first - begin : first - begin + count]
+    return b"".join(out)[: until - begin]
+
+
+def read_samples(file: bytes, first: int, count: int) -> bytes:
+    """Payload bytes [first, first + count): decoding starts at the seek point before and ends with the last block needed."""
+    head = Stream(file)
+    begin, at = max((p for p in head.points if p[0] <= first), default=(0, 0))
+    until = min(first + count, head.samples)
+    return _in_turn(np.frombuffer(file, np.uint8)[head.first :], at, begin, max(until, begin))[first - begin :]
 
 
 def _groups(values: list[bytes], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
