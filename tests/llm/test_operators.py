@@ -471,6 +471,35 @@ def test_pieces(docs, empty):
     assert transducer.encode_documents(empty, PIECES).count() == 0
 
 
+def test_pieces_of_other_models():
+    """A normaliser with rules and user-defined pieces, against the library; protocol buffers that follow each other are merged."""
+    import sentencepiece
+
+    def field(number, body):
+        size, out = len(body), bytearray([number << 3 | 2])
+        while size > 127:
+            out.append(size & 127 | 128)
+            size >>= 7
+        return bytes([*out, size]) + body
+
+    with open(PIECES, "rb") as file:
+        plain = file.read()
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    spec = next(v for f, _, v in transducer._fields(library.serialized_model_proto()) if f == 3)
+    rules = next(v for f, _, v in transducer._fields(spec) if f == 2)
+    letters = "aB e\u0301ﬁ½①ｶﾞ㌔Å\u00a0\u200b\t\n한글Ǆ…́ﷺ"
+    texts = ["".join(RNG.choice(letters) for _ in range(RNG.randint(0, 30))) for _ in range(400)] + ["", "  a  b ", "x<sep>y <sep>  z", "<sep><sep>"]
+    normaliser = transducer.Normaliser(rules)
+    squeezed = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=False)
+    assert [normaliser(t) for t in texts] == [squeezed.normalize(t) for t in texts]
+    own = field(1, field(1, b"<sep>") + bytes([2 << 3 | 5, 0, 0, 0, 0, 3 << 3, transducer.USER]))
+    for model in (plain + field(3, field(2, rules)), plain + own, plain + own + field(3, field(2, rules))):
+        both = transducer.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+        for text in texts:
+            assert both[0].encode(text).tolist() == both[1].encode(text), text
+            assert both[0].decode(both[0].encode(text)).decode() == both[1].decode(both[1].encode(text))
+
+
 def test_unigram_path():
     model = transducer.compiled(PIECES)
     import copy

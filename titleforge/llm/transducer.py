@@ -1,6 +1,6 @@
 """Operator 9: SentencePiece encoding and decoding as shortest paths of a weighted finite-state transducer.
 
-The transducer is compiled from the model file's own bytes: a normaliser (identity, dummy prefix, white space to U+2581), an
+The transducer is compiled from the model file's own bytes: a normaliser (its rules, dummy prefix, white space to U+2581), an
 arc for each piece, and arcs from each character that no piece has to its UTF-8 byte pieces. It is composed with each input
 and its shortest path in the tropical semiring (min, +) is taken.
 
@@ -62,8 +62,74 @@ def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
             at += size
 
 
+class Normaliser:
+    """The first transducer: the longest of a model's rules at each place rewrites what it matches, other letters pass.
+
+    Rules come as a double-array trie over UTF-8 bytes (units of 32 bits: label, leaf flag, offset) and a list of replacements.
+    Letters that begin no longer rule are remembered with what they become.
+    """
+
+    def __init__(self, rules: bytes) -> None:
+        size = struct.unpack_from("<I", rules)[0] if rules else 0
+        self.units = struct.unpack_from(f"<{size // 4}I", rules, 4) if rules else ()
+        self.texts = rules[4 + size :]
+        self.letters: dict[str, str | None] = {}
+
+    def _next(self, at: int, byte: int) -> int | None:
+        """The place of a node's child, before its offset."""
+        at ^= byte
+        return at if at < len(self.units) and self.units[at] & 0x800000FF == byte else None
+
+    def _offset(self, at: int) -> int:
+        unit = self.units[at]
+        return at ^ (unit >> 10 << ((unit & 512) >> 6))
+
+    def longest(self, data: bytes) -> tuple[int, str] | None:
+        """(bytes, replacement) of the longest rule at the front of data."""
+        at, found = self._offset(0), None
+        for i, byte in enumerate(data, 1):
+            child = self._next(at, byte)
+            if child is None:
+                break
+            at = self._offset(child)
+            if self.units[child] >> 8 & 1:
+                begin = self.units[at] & 0x7FFFFFFF
+                found = (i, self.texts[begin : self.texts.index(b"\0", begin)].decode())
+        return found
+
+    def _alone(self, letter: str) -> str | None:
+        """What a letter becomes; None if a rule begins with it and goes on."""
+        at = self._offset(0)
+        for byte in letter.encode():
+            child = self._next(at, byte)
+            if child is None:
+                return letter
+            at = self._offset(child)
+        if any(self._next(at, byte) is not None for byte in range(1, 256)):
+            return None
+        found = self.longest(letter.encode())
+        return found[1] if found else letter
+
+    def __call__(self, text: str) -> str:
+        if not self.units:
+            return text
+        out, at = [], 0
+        while at < len(text):
+            letter = text[at]
+            if letter not in self.letters:
+                self.letters[letter] = self._alone(letter)
+            put = self.letters[letter]
+            step = 1
+            if put is None:
+                found = self.longest(text[at : at + 32].encode())  # no rule is longer
+                put, step = (found[1], len(text[at : at + 32].encode()[: found[0]].decode())) if found else (letter, 1)
+            out.append(put)
+            at += step
+        return "".join(out)
+
+
 class Transducer:
-    """Compiled from the bytes of a SentencePiece model with the identity normaliser."""
+    """Compiled from the bytes of a SentencePiece model."""
 
     def __init__(self, model: bytes) -> None:
         self.pieces: list[tuple[str, float, int]] = []
@@ -89,8 +155,11 @@ class Transducer:
                         self.prefix = bool(v)
                     elif f == 4:
                         self.squeeze = bool(v)
-        if rules or any(kind == USER for _, _, kind in self.pieces):
-            raise ValueError("only models with the identity normaliser and without user-defined pieces can be compiled")
+        self.rules = Normaliser(rules)
+        #: User-defined pieces stand as they are, the longest first; nothing crosses their edges.
+        self.own = {text: i for i, (text, _, kind) in enumerate(self.pieces) if kind == USER}
+        self.own_text = re.compile("|".join(re.escape(t.replace(SPACE, " ")) for t in sorted(self.own, key=len, reverse=True))) if self.own else None
+        self.own_piece = re.compile("(" + "|".join(map(re.escape, sorted(self.own, key=len, reverse=True))) + ")") if self.own else None
         self.ids = {text: i for i, (text, _, kind) in enumerate(self.pieces) if kind == NORMAL}
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.bytes_at = {int(text[3:5], 16): i for i, (text, _, kind) in enumerate(self.pieces) if kind == BYTE}
@@ -99,7 +168,7 @@ class Transducer:
         self.prefixes = {text[:i]: False for text in self.ids for i in range(1, len(text))}
         self.prefixes |= dict.fromkeys(self.ids, True)
         self.letters = set("".join(self.ids))
-        self.outputs = [text.replace(SPACE, " ").encode() if kind == NORMAL else bytes([int(text[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else b"" for text, _, kind in self.pieces]
+        self.outputs = [text.replace(SPACE, " ").encode() if kind in (NORMAL, USER) else bytes([int(text[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else b"" for text, _, kind in self.pieces]
         self.parts = self._parts()
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.pieces])
         self.pairs = Recent(REMEMBERED)
@@ -250,7 +319,18 @@ class Transducer:
             end = begin
         return [i for part in reversed(parts) for i in part]
 
+    def _ruled(self, text: str) -> str:
+        """The text by the normaliser's rules, user-defined pieces aside."""
+        if not self.rules.units or not self.own_text:
+            return self.rules(text)
+        out, at = [], 0
+        for m in self.own_text.finditer(text):
+            out += [self.rules(text[at : m.start()]), m[0]]
+            at = m.end()
+        return "".join([*out, self.rules(text[at:])])
+
     def normalised(self, text: str) -> str:
+        text = self._ruled(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
@@ -265,9 +345,15 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         """Piece ids of a text."""
         text = self.normalised(text)
+        if self.own_piece is None:
+            return np.frombuffer(self._encoded(text), "<i4")
+        pieces = [struct.pack("<i", self.own[p]) if i % 2 else self._encoded(p) for i, p in enumerate(self.own_piece.split(text))]
+        return np.frombuffer(b"".join(pieces), "<i4")
+
+    def _encoded(self, text: str) -> bytes:
         known = self.cache
         parts = self.parts.findall(text) if self.parts else [text] if text else []
-        return np.frombuffer(b"".join([known[p] or self._part(p) for p in parts]), "<i4")
+        return b"".join([known[p] or self._part(p) for p in parts])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of a sequence of piece ids."""
