@@ -4,8 +4,9 @@ Edges of the graph are the windows of `window` words of all documents, nodes the
 edges that follow each other in a document and share their minimiser (the least hash of a short gram inside) are compacted
 into one path on the spot: no edge of such a path is a row of its own. Paths whose minimiser occurs once can't repeat. The
 others meet in joins: equal paths are repeated as a whole, and of different paths with one minimiser, a representative each
-is opened into its edges again to find those that they share. Source coordinates (document, first word) lead from repeated
-paths and edges back to the words, where adjoining ones make up whole spans.
+is opened into its edges again to find those that they share. Source coordinates (document, first word) lead from these paths
+and edges back to the words: those whose words have the same 128-bit digest somewhere else are repeated, and adjoining ones make
+up whole spans.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, materialize, mix, modest_batches, utf8
+from .common import WordHashes, gram_hashes, materialize, mix, modest_batches, parts, utf8
 
 #: Words in a window.
 WINDOW = 35
@@ -108,6 +110,27 @@ def _open_paths(window: int, gram: int):
     return batches
 
 
+def _worded(window: int):
+    """The claims (minimiser, path, edges, first, counts) of each document with a 128-bit digest of the words that stand there."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(source, 64):
+            rows, digests, lists = [], [], []
+            for row, text, claims in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2), strict=True):
+                words = (text or b"").split()
+                claims = claims.values
+                firsts, edges = (claims.field(n).to_pylist() for n in ("first", "edges"))
+                digests += [xxhash.xxh3_128_digest(b" ".join(words[f : f + e + window - 1])) for f, e in zip(firsts, edges, strict=True)]
+                rows.append(np.full(len(firsts), row, np.int64))
+                lists.append(claims)
+            if rows:
+                every = pa.concat_arrays(lists)
+                halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), *(every.field(n) for n in ("minimiser", "path", "edges", "first", "counts")), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_row", "minimiser", "path", "edges", "first", "counts", "high", "low"])
+
+    return batches
+
+
 def _cut(window: int):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -147,9 +170,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     # An edge of a path that occurs once is repeated if another opened path has it too. A path has no edge twice.
     opened = materialize(opened, "repeats-edges")
     shared = opened.groupBy("minimiser", "edge").agg(F.count("*").alias("n")).filter("n > 1").select("minimiser", "edge")
-    single = opened.filter("single").join(shared, ["minimiser", "edge"], "left_semi").select("doc_row", "first", F.lit(1).alias("edges"))
-    whole = met.join(classes.filter("n > 1").select("minimiser", "path", "edges"), ["minimiser", "path", "edges"], "left_semi").select("doc_row", "first", "edges")
-    return whole.union(single).groupBy("doc_row").agg(F.collect_list(F.struct("first", "edges")).alias("spans"))
+    edges = opened.join(shared, ["minimiser", "edge"], "left_semi").select("doc_row", "minimiser", F.col("edge").alias("path"), F.lit(1).alias("edges"), "first", F.col("single").alias("counts"))
+    whole = met.join(classes.filter("n > 1").select("minimiser", "path", "edges"), ["minimiser", "path", "edges"], "left_semi").select("doc_row", "minimiser", "path", "edges", "first", F.lit(True).alias("counts"))
+    # At the source coordinates of each claim stand its words: only what has the same words somewhere else is repeated.
+    claims = whole.union(edges).groupBy("doc_row").agg(F.collect_list(F.struct("minimiser", "path", "edges", "first", "counts")).alias("claims"))
+    worded = source.join(claims, "doc_row").mapInArrow(_worded(window), "doc_row long, minimiser long, path long, edges int, first int, counts boolean, high long, low long")
+    worded = materialize(worded, "repeats-worded")
+    same = ["minimiser", "path", "edges", "high", "low"]
+    alike = materialize(worded.groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1").select(*same), "repeats-alike")
+    return worded.filter("counts").join(alike, same, "left_semi").groupBy("doc_row").agg(F.collect_list(F.struct("first", "edges")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
