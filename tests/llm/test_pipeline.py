@@ -41,3 +41,22 @@ def test_stages(spark, tmp_path):
 def test_empty(spark, name):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, "").count() == 0
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null columns, blank texts, and further columns whose names the stages use inside."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, text, None, None), (None, text, None, None), (7, "some other words here", "en", "a"), (7, "quite another text of seven words now", "en", "a"), (8, "   ", None, "a"), (9, None, None, "b"), (10, "", None, "b"), (11, "x " * 30_000, None, "b")]
+    rows += [(i, f"plain text number {i} about nothing", "en" if i % 2 else None, "a") for i in range(20, 40)]
+    before = spark.createDataFrame([(*r, 0, 5, "r", 1.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size long, root string, taken double")
+    columns, counts = before.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, before, "").write.parquet(str(tmp_path / name))
+        before = spark.read.parquet(str(tmp_path / name))
+        if name != "pieces":
+            found = before.collect()
+            assert before.columns == columns and all((r["size"], r["root"], r["taken"]) == (5, "r", 1.5) for r in found)
+            counts[name] = len(found)
+            if name in ("language", "near_duplicates"):
+                assert sum(r.doc_id is None for r in found) == (2 if name == "language" else 1) and sum(r.doc_id == 7 for r in found) == 2
+    assert counts["language"] == 25 and counts["personal_data"] == counts["near_duplicates"] == 24
