@@ -26,7 +26,7 @@ from .common import Recent, modest_batches
 
 SPACE = "▁"
 #: Parts, and pairs of pieces, that a worker remembers at least (twice as many at most); what is beyond is worked out again.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 _INF = float("inf")
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -168,7 +168,18 @@ class Transducer:
         self.prefixes = {text[:i]: False for text in self.ids for i in range(1, len(text))}
         self.prefixes |= dict.fromkeys(self.ids, True)
         self.letters = set("".join(self.ids))
+        #: By letter: (piece id or -1, the same for the next letter).
+        self.trie: dict[str, tuple] = {}
+        for text in sorted(self.ids, key=len):
+            children, node = self.trie, None
+            for letter in text[:-1]:
+                node = children.get(letter)
+                if node is None:
+                    node = children[letter] = (-1, {})
+                children = node[1]
+            children[text[-1]] = (self.ids[text], children[text[-1]][1] if text[-1] in children else {})
         self.outputs = [text.replace(SPACE, " ").encode() if kind in (NORMAL, USER) else bytes([int(text[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else b"" for text, _, kind in self.pieces]
+        self.packed = [struct.pack("<i", i) for i in range(len(self.pieces))]
         self.parts = self._parts()
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.pieces])
         self.pairs = Recent(REMEMBERED)
@@ -261,39 +272,45 @@ class Transducer:
     def only_path(self, text: str) -> list[int]:
         """With weights of 0 and infinity, best-first search. A prefix has one path of finite weight at most, so a position
         from which the end can't be reached is given up for good: the search is linear in positions times arcs."""
-        n, ids, pairs, arcs_at, done = len(text), self.ids, self.pairs, {}, []
-        at, before = 0, None
+        n, pairs, trie, arcs_at, done = len(text), self.pairs, self.trie, {}, []
+        at, before = 0, -1
         while at < n:
             arcs = arcs_at.get(at)
             if arcs is None:
-                arcs = self.arcs(text, at)
-                if not arcs and text[at] not in ids:
-                    arcs = [""]
-                arcs_at[at] = arcs
+                arcs = arcs_at[at] = []
+                children, end = trie, at
+                while end < n and (node := children.get(text[end])) is not None:
+                    end += 1
+                    children = node[1]
+                    if node[0] >= 0:
+                        arcs.append((node[0], end))
+                if not arcs and text[at] not in self.ids:
+                    arcs.append((-1, at + 1))
             found = None
             while arcs:
-                piece = arcs.pop()  # the longest first
-                if before and piece:
-                    both = ids[before] << 32 | ids[piece]
+                found = arcs.pop()  # the longest first
+                piece = found[0]
+                if piece >= 0 and before >= 0:
+                    both = before << 32 | piece
                     free = pairs[both]
                     if free is None:
-                        free = self.spine(piece)[0] and self.adjacent(before, piece)
+                        left, right = self.pieces[before][0], self.pieces[piece][0]
+                        free = self.spine(right)[0] and self.adjacent(left, right)
                         pairs.put(both, free)
-                    if not free:
-                        continue
-                elif piece and not self.spine(piece)[0]:
-                    continue
-                found = piece
-                break
+                    if free:
+                        break
+                elif piece < 0 or self.spine(self.pieces[piece][0])[0]:
+                    break
+                found = None
             if found is None:
                 at, before = done.pop()
                 continue
             done.append((at, before))
-            at, before = at + (len(found) or 1), found
+            before, at = found
         out: list[int] = []
-        for (begin, _), (_, piece) in zip(done, [*done[1:], (n, before)], strict=True):
-            if piece:
-                out.append(ids[piece])
+        for (begin, _), piece in zip(done, [*(d[1] for d in done[1:]), before], strict=True):
+            if piece >= 0:
+                out.append(piece)
             else:
                 out += self.fallback(text[begin])
         return out
@@ -337,7 +354,7 @@ class Transducer:
 
     def _part(self, part: str) -> bytes:
         ids = self.path(part)
-        found = struct.pack(f"<{len(ids)}i", *ids)
+        found = b"".join([self.packed[i] for i in ids])
         if len(part) <= 48:
             self.cache.put(part, found)
         return found
