@@ -166,13 +166,43 @@ def conveyance_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.conveyance_type(pick).alias("kind"))
 
 
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_SIZE = "len(list_filter(string_split({0}, ' '), lambda t: t <> ''))"
+_NAMES = """SELECT 'c' || c_custkey AS id, ['ACME HOLDINGS LLC', c_name, 'Doe, Jane ' || chr(65 + (c_custkey % 26)::INT) || '.', c_mktsegment || ' Jr', 'A, b c d e f'][(c_custkey % 5 + 1)::INT] AS name FROM customer
+UNION ALL SELECT 'p' || p_partkey, p_name FROM part UNION ALL SELECT 'n' || n_nationkey, n_name || ' Kabushiki-Kaisha' FROM nation UNION ALL SELECT 's' || s_suppkey, replace(s_name, '#', ' ') || ', Inc.' FROM supplier"""
+_KIND_OF = f"""CASE WHEN list_has_any(string_split(key, ' '), {_LIST(classify.COMPANY_TOKENS)}) OR contains(key, 'KABUSHIKI KAISHA') THEN 'company'
+  WHEN contains(name, ',') AND {_SIZE.format(_KEY.format("split_part(name, ',', 1)"))} BETWEEN 1 AND 3 AND {_SIZE.format(_KEY.format("substr(name, strpos(name, ',') + 1)"))} BETWEEN 1 AND 3 THEN 'individual'
+  WHEN len(list_filter(string_split(key, ' '), lambda t: t <> '' AND NOT list_contains({_LIST(classify.PERSON_SUFFIXES)}, t))) BETWEEN 2 AND 4 AND len(list_filter(string_split(key, ' '), lambda t: t <> '' AND NOT list_contains({_LIST(classify.PERSON_SUFFIXES)}, t) AND NOT regexp_full_match(t, '[A-Z]+'))) = 0 THEN 'individual' ELSE 'unknown' END"""
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, parts, nations, suppliers = (table(spark, sf_dir, t) for t in ("customer", "part", "nation", "supplier"))
+    forms = F.array(F.lit("ACME HOLDINGS LLC"), F.col("c_name"), F.concat(F.lit("Doe, Jane "), F.char(F.lit(65) + F.col("c_custkey") % 26), F.lit(".")), F.concat("c_mktsegment", F.lit(" Jr")), F.lit("A, b c d e f"))
+    rows = customers.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.get(forms, (F.col("c_custkey") % 5).cast("int")).alias("name"))
+    rows = rows.union(parts.select(F.concat(F.lit("p"), "p_partkey"), "p_name")).union(nations.select(F.concat(F.lit("n"), "n_nationkey"), F.concat("n_name", F.lit(" Kabushiki-Kaisha"))))
+    return rows.union(suppliers.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.replace("s_name", F.lit("#"), F.lit(" ")), F.lit(", Inc."))))
+
+
+@query(f"SELECT id, {_KIND_OF} AS kind FROM (SELECT *, {_KEY.format('name')} AS key FROM ({_NAMES}))")
+def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("id", classify.classify(F.col("name")).alias("kind"))
+
+
+_PAIRED = f"""SELECT a.id, a.name || '; ' || b.name AS value, a.kind AS x, b.kind AS y FROM (SELECT *, {_KIND_OF} AS kind, row_number() OVER (ORDER BY id) AS n FROM (SELECT *, {_KEY.format('name')} AS key FROM ({_NAMES}))) a
+JOIN (SELECT *, {_KIND_OF} AS kind, row_number() OVER (ORDER BY id DESC) AS n FROM (SELECT *, {_KEY.format('name')} AS key FROM ({_NAMES}))) b USING (n)"""
+
+
 @query(
-    "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'company' WHEN c_custkey % 4 = 1 THEN 'individual' WHEN c_custkey % 4 = 2 THEN 'unknown' ELSE 'company' END AS kind, "
-    "CASE WHEN c_custkey % 4 = 3 THEN 'unknown' ELSE CASE c_custkey % 4 WHEN 0 THEN 'company' WHEN 1 THEN 'individual' ELSE 'unknown' END END AS all_kind FROM customer"
+    f"""SELECT id, CASE WHEN x = y THEN x ELSE 'unknown' END AS all_kind, CASE WHEN 'company' IN (x, y) THEN 'company' WHEN 'individual' IN (x, y) THEN 'individual' ELSE 'unknown' END AS any_kind, x AS first_kind,
+  CASE WHEN x = y THEN x ELSE 'unknown' END AS majority_kind FROM ({_PAIRED})"""
 )
-def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("c_custkey") % 4 == 0, F.concat("c_mktsegment", F.lit(" HOLDINGS LLC"))).when(F.col("c_custkey") % 4 == 1, F.lit("Doe, Jane A.")).when(F.col("c_custkey") % 4 == 2, F.lit("X9")).otherwise(F.lit("ACME CORP; DOE, JANE"))
-    return table(spark, sf_dir, "customer").select("c_custkey", classify.classify_value(name, "; ", "any").alias("kind"), classify.classify_value(name, "; ", "all").alias("all_kind"))
+def classify_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of two names each, by the four modes."""
+    names = _names(spark, sf_dir)
+    one, two = ((names.withColumn("n", F.row_number().over(W.orderBy(by)))) for by in (F.col("id"), F.col("id").desc()))  # some thousand names
+    value = F.concat("name", F.lit("; "), "other")
+    rows = one.join(two.select("n", F.col("name").alias("other")), "n").select("id", value.alias("value"))
+    return rows.select("id", *(classify.classify_value(F.col("value"), "; ", mode).alias(f"{mode}_kind") for mode in ("all", "any", "first", "majority")))
 
 
 _DOCS = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'US0' || p_partkey WHEN p_partkey % 5 = 1 THEN lpad(p_partkey::VARCHAR, [11, 7, 8][(p_partkey % 3 + 1)::INT], '2') ELSE 'D' || p_partkey END AS number, ['B1', CASE WHEN p_partkey % 2 = 0 THEN 'A1' ELSE 'A2' END, 'X0', NULL, 'A'][(p_partkey % 5 + 1)::INT] AS kind FROM part"
