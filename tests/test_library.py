@@ -98,6 +98,7 @@ def test_dedupe_and_compare(spark):
     assert [(r.l_matches_r, r.l_matches_r_score, r.l_matches_r_review) for r in out] == [("true", 100, "false"), ("true", 75, "true"), ("false", 100, "false"), ("false", None, "false")]
     assert relational.compare(pairs, "l", "r", action="drop_matches").count() == 3
     assert relational.page_bounds(95, 9, 20) == (5, 80, 95)
+    assert relational.toggled(None, "a") == relational.toggled(("b", True), "a") == relational.toggled(("a", False), "a") == ("a", True) and relational.toggled(("a", True), "a") == ("a", False)
 
 
 def greedy(names, threshold, scorer):
@@ -162,6 +163,8 @@ def test_service():
     answers = [(500, ""), (200, json.dumps({"patentFileWrapperDataBag": [{"applicationMetaData": {"patentNumber": "1", "cpcClassificationBag": ["H04L", "H04L"]}}]}))]
     service = code_api.CodeService("http://x", "k", lambda url, headers: answers.pop(0), sleep=lambda s: None)
     assert service.fetch(["1", "2"]) == {"1": ["H04L"]}
+    answer = lambda status: code_api.CodeService("http://x", "k", lambda url, headers: (status, "{}"), sleep=lambda s: None).probe()
+    assert answer(200) == answer(404) == "ok" and "403" in answer(403)
 
 
 def test_exports(spark, tmp_path):
@@ -172,7 +175,7 @@ def test_exports(spark, tmp_path):
     assert files.read_table_file(spark, str(tmp_path / "t.csv")).first().l == "a; "
     assert files.read_table_file(spark, str(tmp_path / "t.feather")).first().l == "a; "
     assert b"<row" in zipfile.ZipFile(tmp_path / "t.xlsx").read("xl/worksheets/sheet1.xml")
-    assert sinks.unique_path(tmp_path / "t.csv").name == "t (2).csv"
+    assert sinks.unique_path(tmp_path / "t.csv").name == "t (1).csv"
 
 
 def test_template(spark, xml, tmp_path):
@@ -304,7 +307,7 @@ def test_runs(spark, xml, tmp_path):
         batch.run(spark, whole, [str(xml)], str(tmp_path / "conv"), convert=True, existing="skip")
     assert sorted(p.name for p in (tmp_path / "conv").iterdir()) == ["_convert_index.csv", "in.parquet"]
     batch.run(spark, whole, [str(xml)], str(tmp_path / "conv"), convert=True, existing="unique")
-    assert (tmp_path / "conv" / "in (2).parquet").exists()
+    assert (tmp_path / "conv" / "in (1).parquet").exists()
     assert template.needed_tables(whole) == {"assignors"} and files.inputs_columns(spark, [str(tmp_path / "conv" / "in.parquet"), str(xml)]) == {"flat": COLUMNS["assignors"]}
     assert batch.run(spark, whole, [str(xml)], str(tmp_path / "stop"), should_stop=lambda: True)["cancelled"]
     with pytest.raises(ValueError):
@@ -378,6 +381,26 @@ def test_command_line(spark, xml, tmp_path, capsys):
     assert json.loads(run("run", tmp_path / "t" / "one.json", xml, "--out", tmp_path / "r"))["succeeded"] == 1
 
 
+def test_bundled_steps_and_references(spark, xml, tmp_path):
+    """A reference step with its own targets, kept and dropped rows, and a table of a store, over one input."""
+    (tmp_path / "g.tsv").write_text("assignee_id\tdisambig_assignee_organization\nw\tWidget Inc\n")
+    step = {"kind": "reference_match", "table": "flat", "column": "assignor_names", "reference_path": str(tmp_path / "g.tsv"), "target": "org", "emit_score": True}
+    tables = files.load(spark, str(xml))
+    plan = template.decode({"name": "r", "steps": [step, {"kind": "kind_filter", "types": ["grant"]}]})
+    flat = template.compile_template(spark, plan, tables)["flat"]
+    assert template.columns_after(plan)["flat"] == [c for c in flat.columns if c != relational.ORDINAL]
+    got = {r.reel_no: (r.org, r.assignor_names_matched) for r in flat.collect()}
+    assert got == {"1": ("Widget Inc; Widget Inc", "true"), "2": ("DOE, JANE", "false")}
+    for action, reels in (("keep_matched", {"1"}), ("drop_matched", {"2"})):
+        plan = template.decode({"name": "r", "steps": [step | {"action": action}]})
+        assert {r.reel_no for r in template.compile_template(spark, plan, tables)["flat"].collect()} == reels
+    assert match.load_reference(spark, str(tmp_path / "g.tsv"), "disambig_assignee_organization") is match.load_reference(spark, str(tmp_path / "g.tsv"), "disambig_assignee_organization")
+    assert sinks.scoped_path(tmp_path / "a.csv", "filtered").name == "a_filtered.csv"
+    for bad in ({"kind": "kind_filter", "types": ["odd"]}, {"kind": "dedupe", "table": "t", "subset": "x"}, {"kind": "transfer_type", "assignor_type": "firm"}, {"kind": "filter", "table": "t", "clauses": {}}):
+        with pytest.raises(ValueError):
+            template.decode_step(bad)
+
+
 def test_name_model(spark, tmp_path):
     df = spark.createDataFrame([("Zorbo Quant",), ("Mary Major",), ("Widget Inc",), ("Doe, Jane",), ("Zorbo",), ("",)], "n string")
     model = classify.NameModel({" ZOR": 4.0, " MAR": -4.0}, (0.0, 0.0, 0.0, 0.5, 0.0), -0.5)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import COMPANY, PERSON, classify
 from ..functions.scorers import get_scorer, score
 from .graph import checkpointed
+from ..sources.files import read_reference
 from ..functions.text import PARTS, clean_key, hash_id, review_flag, split_parties, strip_legal_suffix
 
 #: Letters of a key that make its block, and those by which a block beyond its cap is split.
@@ -167,6 +170,19 @@ def build_reference(rows: DataFrame, name_column: str, id_column: str | None, or
     return first.select("organization", "first.assignee_id", clean_key(F.col("organization")).alias("key"), "first.ord")
 
 
+_references: dict[tuple, DataFrame] = {}
+
+
+def load_reference(spark: SparkSession, path: str, name_column: str = "", id_column: str = "", delimiter: str = "") -> DataFrame:
+    """build_reference of a file, worked out once for each state of the file and kept in the checkpoint folder."""
+    local = Path(path)
+    key = (spark.sparkContext.applicationId, path, local.stat().st_mtime if local.exists() else None, name_column, id_column, delimiter)
+    if key not in _references:
+        rows, name, ids = read_reference(spark, path, name_column, id_column, delimiter)
+        _references[key] = checkpointed(build_reference(rows, name, ids, "_ord"))
+    return _references[key]
+
+
 def reference_match(df: DataFrame, reference: DataFrame, column: str, threshold: float = 90, scorer: str = "wratio", separator: str = "", mode: str = "any", action: str = "flag", emit_score: bool = False, review_threshold: int = 0) -> DataFrame:
     """Adds {column}_disambiguated, {column}_matched ("true"/"false", null for null) and {column}_assignee_id; or keeps or drops
     by the flag, where null flags go either way."""

@@ -37,6 +37,11 @@ def order(df: DataFrame, column: str, ascending: bool = True, tie: str | None =
     return df.orderBy(by.asc_nulls_last() if ascending else by.desc_nulls_last(), *([F.col(tie)] if tie else []))
 
 
+def toggled(current: tuple[str, bool] | None, column: str) -> tuple[str, bool]:
+    """The order that a click on a column's header asks for: ascending, or descending if it was ascending by that column."""
+    return column, current != (column, True)
+
+
 def dedupe(df: DataFrame, subset: list[str] | None, first_by: list[str]) -> DataFrame:
     """The first row of each key, by first_by; null and empty text are one key. The rank limit runs before the shuffle too, so
     a hot key costs one row for each task."""

@@ -97,7 +97,8 @@ def decode_step(data: dict[str, Any]) -> Step:
         value = data.get(name, default)
         if value is None and name in ("columns", "group_by", "types", "codes") and default == []:
             value = []
-        if isinstance(default, list) and name != "clauses" and (isinstance(value, (str, dict)) or not isinstance(value, (list, tuple))):
+        listed = name in ("subset", "tables", "group_by", "types", "codes") or name == "columns" and kind != "export"
+        if listed and value is not None and not isinstance(value, (list, tuple)):
             raise ValueError(f"{kind}: {name} must be a list")
         if name in _ENUMS and value in ("", None):
             value = default
@@ -290,9 +291,8 @@ def apply_step(spark: SparkSession, tables: dict[str, DataFrame], step: Step, co
     if step.kind == "reference_match":
         if o["column"] not in df.columns or not ("://" in o["reference_path"] or Path(o["reference_path"]).exists()):
             return out
-        rows, name, ids = files.read_reference(spark, o["reference_path"], o["name_column"], o["id_column"], o["delimiter"])
         action = {"keep_matched": "keep", "drop_matched": "drop"}.get(o["action"], "flag")
-        new = match.reference_match(df, match.build_reference(rows, name, ids, "_ord"), o["column"], o["threshold"], o["scorer"], effective_separator(o["separator"], o["column"]), o["mode"], action, o["emit_score"], o["review_threshold"])
+        new = match.reference_match(df, match.load_reference(spark, o["reference_path"], o["name_column"], o["id_column"], o["delimiter"]), o["column"], o["threshold"], o["scorer"], effective_separator(o["separator"], o["column"]), o["mode"], action, o["emit_score"], o["review_threshold"])
         usual = [f"{o['column']}_{n}" for n in ("disambiguated", "matched", "assignee_id")]
         return put(new.withColumnsRenamed(dict(zip(usual, reference_targets(step), strict=True))) if action == "flag" else new)
     if step.kind == "dedupe":

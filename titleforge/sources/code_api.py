@@ -55,3 +55,11 @@ class CodeService:
                     found[number] = list(dict.fromkeys(codes))
             self.sleep(self.pause)
         return found
+
+    def probe(self, number: str = "10000000") -> str:
+        """Asks for one patent; says "ok" or what went wrong."""
+        try:
+            self._send(number)
+        except (RuntimeError, OSError, ValueError) as e:
+            return str(e)
+        return "ok"
