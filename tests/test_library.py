@@ -130,6 +130,8 @@ def test_cascade_and_ledger(spark, xml):
     got = {r.mention: (r.entity_id, r.resolution_source) for r in found.collect()}
     assert got["WIDGET INC"] == got["WIDGET, INC."] == ("w", "exact") and got["GADGET LLC"] == ("g", "exact")
     assert got["DOE, JANE"][1] == "person" and got["BANK OF X"][1] == "provisional"
+    whole = {r.mention: r for r in found.collect()}
+    assert all(r.ultimate_parent_id == r.entity_id for r in whole.values()) and whole["DOE, JANE"].canonical_name == "Doe Jane" and whole["BANK OF X"].entity_type == "company"
     made = ledger.build_ledger(tables["assignments"], tables["assignors"], tables["assignees"], tables["properties"], found)
     row = made["transaction_ledger"].collect()
     assert len(row) == 1 and row[0].buyer_entity_ids == ["g"] and row[0].property_count == 1 and row[0].transaction_date == "20240103"
@@ -229,6 +231,7 @@ def test_rules_of_documents_and_conveyances(spark):
     assert [r[0] for r in df.select(text.doc_type(df.n, df.k)).collect()] == ["unknown", "unknown", "publication", "grant", "publication"]
     df = spark.createDataFrame([("CHANGE OF NAME AND MERGERS",), ("NAME CHANGE",), ("licence",), (None,)], "t string")
     assert [r[0] for r in df.select(text.conveyance_type(df.t)).collect()] == ["merger", "name_change", "license", None]
+    assert [r[0] for r in spark.createDataFrame([("DOE JANE 3RD",), ("A1B C",), ("",)], "k string").select(text.title_key("k")).collect()] == ["Doe Jane 3Rd", "A1B C", ""]
     assert scorers.partial("c bcc  a", " b  bcca") == scorers.partial(" b  bcca", "c bcc  a")
 
 

@@ -157,7 +157,8 @@ def hash_id(prefix: str, key: Column) -> Column:
 
 
 def title_key(key: Column) -> Column:
-    return F.initcap(key)
+    """Each run of letters of a cleaned key with its first one upper; so also after digits."""
+    return F.array_join(F.transform(F.regexp_extract_all(key, F.lit("([A-Z]+|[^A-Z]+)"), F.lit(1)), lambda run: F.initcap(run)), "")
 
 
 def review_flag(score: Column, threshold: int) -> Column:

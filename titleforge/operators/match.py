@@ -14,7 +14,7 @@ from ..functions.classify import COMPANY, PERSON, classify
 from ..functions.scorers import get_scorer, score
 from .graph import checkpointed
 from ..sources.files import read_reference
-from ..functions.text import PARTS, clean_key, hash_id, review_flag, split_parties, strip_legal_suffix
+from ..functions.text import PARTS, clean_key, hash_id, review_flag, split_parties, strip_legal_suffix, title_key
 
 #: Letters of a key that make its block, and those by which a block beyond its cap is split.
 BLOCK, SPLITS = 4, (6, 8)
@@ -287,14 +287,15 @@ def append_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def resolve_mentions(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, provisional: DataFrame | None = None, threshold: float = 90, scorer: str = "token_set") -> DataFrame:
     """mentions: mention. Returns a row for each distinct mention: mention, entity_id, canonical_name, entity_type,
-    resolution_source (unresolved, exact, person, fuzzy, provisional), resolution_confidence, ultimate_parent_id.
+    resolution_source (unresolved, exact, person, fuzzy, provisional), resolution_confidence, ultimate_parent_id (the entity
+    itself without a parent). Null and blank mentions are left out.
 
     Each stage takes what the ones before left: exact by key, then by key without legal forms; persons by rule; the best
     canonical name of the block; and for the rest provisional ids by clusters of similar keys.
     """
     from .graph import components
 
-    keyed = mentions.select("mention").distinct().withColumn("key", clean_key(F.coalesce("mention", F.lit("")))).withColumn("bare", strip_legal_suffix(F.col("key")))
+    keyed = mentions.select("mention").filter("trim(mention) <> ''").distinct().withColumn("key", clean_key(F.coalesce("mention", F.lit("")))).withColumn("bare", strip_legal_suffix(F.col("key")))
     known = aliases.select("alias_key", "entity_id")
     names = entities.select("entity_id", "canonical_name", "entity_type", "ultimate_parent_id")
     if provisional is not None:
@@ -323,13 +324,13 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame, aliases: DataFram
     none = F.lit("")
 
     def out(df: DataFrame, entity: F.Column, name: F.Column, kind: F.Column, source: str, confidence: F.Column, parent: F.Column = none) -> DataFrame:
-        return df.select("mention", entity.alias("entity_id"), name.alias("canonical_name"), kind.alias("entity_type"), F.lit(source).alias("resolution_source"), confidence.cast("double").alias("resolution_confidence"), parent.alias("ultimate_parent_id"))
+        return df.select("mention", entity.alias("entity_id"), name.alias("canonical_name"), kind.alias("entity_type"), F.lit(source).alias("resolution_source"), confidence.cast("double").alias("resolution_confidence"), F.coalesce(F.nullif(parent, F.lit("")), entity).alias("ultimate_parent_id"))
 
     c = F.col
     return (
         out(blank, none, F.coalesce("mention", none), F.lit("unknown"), "unresolved", F.lit(0.0))
         .union(out(exact.join(names, "entity_id"), c("entity_id"), c("canonical_name"), c("entity_type"), "exact", F.lit(1.0), c("ultimate_parent_id")))
-        .union(out(persons, hash_id("person-", c("key")), F.initcap("key"), F.lit(PERSON), "person", F.lit(0.95)))
+        .union(out(persons, hash_id("person-", c("key")), title_key(F.col("key")), F.lit(PERSON), "person", F.lit(0.95)))
         .union(out(fuzzy.join(names, "entity_id"), c("entity_id"), c("canonical_name"), c("entity_type"), "fuzzy", c("confidence"), c("ultimate_parent_id")))
-        .union(out(made, hash_id("prov-", c("rep_key")), c("canonical_name"), c("kind"), "provisional", F.lit(0.5)))
+        .union(out(made, hash_id("prov-", c("rep_key")), c("canonical_name"), F.when(classify(c("canonical_name")) == COMPANY, COMPANY).otherwise("unknown"), "provisional", F.lit(0.5)))
     )
