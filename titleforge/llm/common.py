@@ -39,23 +39,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone; the files are then the cluster's to clean up
             return
 
 
+def release(*tables: DataFrame) -> None:
+    """Removes the files of materialized tables that nothing reads any more."""
+    for table in tables:
+        path = table._titleforge_path
+        _delete(table.sparkSession, path)
+        _written[:] = [w for w in _written if w[1] != path]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._titleforge_path = path
+    return table
 
 
 def word_count(text: Column) -> Column:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, materialize, mix, modest_batches, parts, utf8
+from .common import WordHashes, gram_hashes, materialize, mix, modest_batches, parts, release, utf8
 
 #: Words in a window.
 WINDOW = 35
@@ -161,6 +161,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     often = every.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1").select("minimiser")
     often = materialize(often, "repeats-often")  # written, so that both sides of the join are dealt anew and hot keys can be split
     met = materialize(every.join(often, "minimiser", "left_semi"), "repeats-paths")
+    release(every, often)
     classes = met.groupBy("minimiser", "path", "edges").agg(F.count("*").alias("n"), F.min(F.struct("doc_row", "first")).alias("at"))
     classes = materialize(classes.select("minimiser", "path", "edges", "n", "at.*"), "repeats-classes")
     # Where different paths share a minimiser, one of each is opened.
@@ -176,6 +177,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     claims = whole.union(edges).groupBy("doc_row").agg(F.collect_list(F.struct("minimiser", "path", "edges", "first", "counts")).alias("claims"))
     worded = source.join(claims, "doc_row").mapInArrow(_worded(window), "doc_row long, minimiser long, path long, edges int, first int, counts boolean, high long, low long")
     worded = materialize(worded, "repeats-worded")
+    release(met, classes, opened)
     same = ["minimiser", "path", "edges", "high", "low"]
     alike = materialize(worded.groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1").select(*same), "repeats-alike")
     return worded.filter("counts").join(alike, same, "left_semi").groupBy("doc_row").agg(F.collect_list(F.struct("first", "edges")).alias("spans"))
