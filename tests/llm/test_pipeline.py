@@ -1,5 +1,7 @@
 """The pipeline's stages, one after another, over a small part of the test tables."""
 
+import zlib
+
 import pytest
 
 import corpus_pipeline
@@ -60,3 +62,17 @@ def test_awkward_rows(spark, tmp_path):
             if name in ("language", "near_duplicates"):
                 assert sum(r.doc_id is None for r in found) == (2 if name == "language" else 1) and sum(r.doc_id == 7 for r in found) == 2
     assert counts["language"] == 25 and counts["personal_data"] == counts["near_duplicates"] == 24
+
+
+def test_language_reaches_the_token_ids(spark):
+    """A text in another language than stated goes on under its own; a stated language that isn't known stays; unclear texts
+    without one are und. All of that comes out with the token ids."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = next(r.text for r in docs.filter("lang = 'en' and length(text) > 2000").orderBy("doc_id").collect())
+    odd = "S\u0142owa w tym zdaniu s\u0105 d\u0142ugie oraz \u017c\u00f3\u0142te"
+    ids = [i for i in range(9000, 9100) if zlib.crc32(str(i).encode()) % 4 == 2]  # never learned from
+    extra = [(i, t, lang, "src0", 0) for i, (t, lang) in zip(ids, [(text, "de"), (text, "xx"), (text, None), (odd, None), (odd, "de"), ("12", "de")])]
+    out = corpus_pipeline.language(spark, docs.union(spark.createDataFrame(extra, docs.schema)), "")
+    want = dict(zip(ids, ["en", "xx", "en", "und", "de"]))
+    assert {r.doc_id: r.lang for r in out.filter("doc_id >= 9000").collect()} == want
+    assert {r.doc_id: r.lang for r in corpus_pipeline.pieces(spark, out, "").filter("doc_id >= 9000").collect()} == want

@@ -26,6 +26,8 @@ FEATURES = 8192
 SAMPLE, LANDMARKS = 1600, 160
 RIDGE = 1e-3
 UNDETERMINED = "und"
+#: From this score on a language claims a text: regression value 0, halfway between a language's own texts and others'.
+CLAIM = 0.5
 
 _WORDLIKE = re.compile(r"[^\W\d_]")
 _LATIN = np.array([c if chr(c).isalpha() else 32 for c in range(0x250)], np.uint32)
@@ -164,9 +166,18 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return modest_batches(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def settle(stated: str | None, predicted: str, score: float, languages: list[str]) -> str:
+    """The language of a text with letters. The predicted one, if it claims the text; otherwise the stated one, or und. A stated
+    language that was never learned stays, as no prediction can be that one. With fewer than two learned languages there is
+    nothing to tell apart: then a stated one stays and a missing one is filled in."""
+    if stated is not None and (score < CLAIM or stated not in languages or len(languages) < 2):
+        return stated
+    return predicted if score >= CLAIM or len(languages) < 2 else UNDETERMINED
+
+
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs without those whose language can't be told (no text or no letter); lang becomes the predicted one where null,
-    which is und if no label was learned."""
+    """docs without those that have no text or no letter; lang becomes what `settle` says: what the text shows wins over what was
+    stated."""
     model = model or train(docs)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +187,9 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(at_text).to_pylist()
-                labels, _ = model.predict(texts)
-                langs = [old if old is not None else new for old, new in zip(part.column(at_lang).to_pylist(), labels, strict=True)]
+                labels, scores = model.predict(texts)
+                stated = part.column(at_lang).to_pylist()
+                langs = [settle(*row, model.languages) for row in zip(stated, labels, scores, strict=True)]
                 kept = pa.array([has_letter(t) for t in texts], pa.bool_())
                 columns = [pa.array(langs, pa.string()) if i == at_lang else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names).filter(kept)

@@ -390,10 +390,10 @@ def compiled(model_path: str) -> Transducer:
     return _compiled[model_path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """Returns for each row of docs: doc_id, n_tokens, n_bytes_fallback, ids_sha256 (of the ids as little-endian int32),
-    decoded_sha256 (of the text decoded from the ids, UTF-8), round_trip (that text equals the input), and token_ids if
-    with_ids.
+    decoded_sha256 (of the text decoded from the ids, UTF-8), round_trip (that text equals the input), token_ids if
+    with_ids, and the columns named in also.
 
     model_path names a model file that every worker has, like the interpreter's own files. Null text counts as empty: no
     tokens. A U+2581 in the input decodes as a blank, so round_trip is false there. Equal texts get equal rows. Other columns
@@ -418,7 +418,10 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) ->
                 if with_ids:
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([*lists, np.empty(0, "<i4")]).astype(np.int32), pa.int32())))
                     names.append("token_ids")
+                arrays += part.columns[2:]
+                names += also
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, n_tokens long, n_bytes_fallback long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", token_ids array<int>" * with_ids
-    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, schema)
+    schema += "".join(f", `{name}` {docs.schema[name].dataType.simpleString()}" for name in also)
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also).mapInArrow(batches, schema)
