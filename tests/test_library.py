@@ -2,6 +2,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from titleforge import queries
 from titleforge.functions import classify, scorers, text
@@ -161,6 +162,32 @@ def test_codes(spark):
         codes.assert_hit_rate({"found": 1, "not_found": 9, "uncached": 0, "eligible": 10, "hit_rate": 0.1}, 0.5)
 
 
+def _one_set(spark):
+    """Twenty portfolio patents and forty buyers with one set of codes; buyer b0 has three patents, a null buyer two."""
+    portfolio = spark.createDataFrame([(f"p{i}", c) for i in range(20) for c in ("A", "B")], "portfolio_patent string, code string")
+    owned = [(f"b{i}", f"x{i}", ["A", "B"], 2001) for i in range(40)] + [("b0", "y", ["A", "B"], 0), ("b0", "z", ["C"], 2005), (None, "u", ["A", "B"], 2002), (None, "v", ["A", "B"], 2003)]
+    return portfolio, spark.createDataFrame(owned, "buyer string, patent_id string, codes array<string>, year int")
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_class_rows_of_one_set(spark, uncoalesced, least):
+    """A null buyer keeps its rows, as in SQL, and one set of codes is worked on by several tasks."""
+    portfolio, patents = _one_set(spark)
+    out = codes.match_portfolio(portfolio, patents, codes.MatchConfig(min_patents=least))["class"]
+    many = {"b0": 2, None: 2}
+    want = sorted(((f"p{i}", r.buyer, r.patent_id, c, str(r.year) if r.year else "", "false") for i in range(20) for r in patents.collect() if "A" in r.codes and many.get(r.buyer, 1) >= least for c in "AB"), key=str)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == want
+    if least == 1:
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_service():
     answers = [(500, ""), (200, json.dumps({"patentFileWrapperDataBag": [{"applicationMetaData": {"patentNumber": "1", "cpcClassificationBag": ["H04L", "H04L"]}}]}))]
     service = code_api.CodeService("http://x", "k", lambda url, headers: answers.pop(0), sleep=lambda s: None)
