@@ -188,6 +188,20 @@ def test_class_rows_of_one_set(spark, uncoalesced, least):
         assert out.select(F.spark_partition_id()).distinct().count() > 1
 
 
+@pytest.mark.parametrize("metric", ["shared_count", "jaccard", "rarity_weighted"])
+def test_ranks_of_one_set(spark, uncoalesced, metric):
+    """Rows of one set of codes come from several tasks, with the same ranks for each portfolio patent."""
+    portfolio, patents = _one_set(spark)
+    out = codes.match_portfolio(portfolio, patents, codes.MatchConfig(metric=metric, threshold=0.5))["per"]
+    rows = out.collect()
+    assert out.columns == codes.PER and len(rows) == 20 * 41
+    for i in range(20):
+        mine = sorted((r for r in rows if r.portfolio_patent == f"p{i}"), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 42)) and [r.in_domain_patents for r in mine[:3]] == [2, 2, 1]
+        assert {r.buyer: r.last_acquisition_date for r in mine} == {None: "2003"} | {f"b{i}": "2001" for i in range(40)}
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_service():
     answers = [(500, ""), (200, json.dumps({"patentFileWrapperDataBag": [{"applicationMetaData": {"patentNumber": "1", "cpcClassificationBag": ["H04L", "H04L"]}}]}))]
     service = code_api.CodeService("http://x", "k", lambda url, headers: answers.pop(0), sleep=lambda s: None)
