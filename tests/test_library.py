@@ -1,4 +1,5 @@
 import json
+import re
 import zipfile
 
 import pytest
@@ -202,6 +203,21 @@ def test_ranks_of_one_set(spark, uncoalesced, metric):
     assert out.select(F.spark_partition_id()).distinct().count() > 1
 
 
+@pytest.mark.parametrize("name, most", [("class", 1)])
+def test_match_reads_lines(spark, name, most):
+    """The pairs of buyers and patents are made once; for weights twice, but from one shuffle."""
+    plan = queries.queries()[f"cpc_match_{name}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[l_orderkey", plan)) == most
+    assert len({re.sub(r"#\d+L?", "", x) for x in re.findall(r"Aggregate \[o_custkey[^\n]*", plan)}) == 1
+
+
+@pytest.mark.parametrize("name", ["class"])
+def test_rows_of_one_set_keep_cores_busy(spark, name):
+    """Few sums that make many rows are not merged into one task."""
+    out = codes.match_portfolio(*_one_set(spark))[name]
+    assert out.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_service():
     answers = [(500, ""), (200, json.dumps({"patentFileWrapperDataBag": [{"applicationMetaData": {"patentNumber": "1", "cpcClassificationBag": ["H04L", "H04L"]}}]}))]
     service = code_api.CodeService("http://x", "k", lambda url, headers: answers.pop(0), sleep=lambda s: None)
