@@ -203,7 +203,7 @@ def test_ranks_of_one_set(spark, uncoalesced, metric):
     assert out.select(F.spark_partition_id()).distinct().count() > 1
 
 
-@pytest.mark.parametrize("name, most", [("class", 1)])
+@pytest.mark.parametrize("name, most", [("class", 1), ("per_jaccard", 1)])
 def test_match_reads_lines(spark, name, most):
     """The pairs of buyers and patents are made once; for weights twice, but from one shuffle."""
     plan = queries.queries()[f"cpc_match_{name}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
@@ -211,7 +211,7 @@ def test_match_reads_lines(spark, name, most):
     assert len({re.sub(r"#\d+L?", "", x) for x in re.findall(r"Aggregate \[o_custkey[^\n]*", plan)}) == 1
 
 
-@pytest.mark.parametrize("name", ["class"])
+@pytest.mark.parametrize("name", ["per", "class"])
 def test_rows_of_one_set_keep_cores_busy(spark, name):
     """Few sums that make many rows are not merged into one task."""
     out = codes.match_portfolio(*_one_set(spark))[name]
