@@ -203,7 +203,7 @@ def test_ranks_of_one_set(spark, uncoalesced, metric):
     assert out.select(F.spark_partition_id()).distinct().count() > 1
 
 
-@pytest.mark.parametrize("name, most", [("class", 1), ("per_jaccard", 1)])
+@pytest.mark.parametrize("name, most", [("class", 1), ("per_jaccard", 1), ("per_rarity_weighted", 2)])
 def test_match_reads_lines(spark, name, most):
     """The pairs of buyers and patents are made once; for weights twice, but from one shuffle."""
     plan = queries.queries()[f"cpc_match_{name}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
@@ -218,6 +218,15 @@ def test_rows_of_one_set_keep_cores_busy(spark, name):
     assert out.select(F.spark_partition_id()).distinct().count() > 4
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_weights_count_patents_without_codes(spark, given):
+    portfolio, _ = _one_set(spark)
+    patents = spark.createDataFrame([("b", "u", ["B", "A"], None), ("b", "v", ["A"], 2001), ("c", "w", [], 2002), (None, "x", None, 2003)], "buyer string, patent_id string, codes array<string>, year int")
+    known = spark.createDataFrame([(["A", "B"],), (["A"],), (["Z"],), (["A", "Z"],)], "codes array<string>") if given else None
+    out = codes.match_portfolio(portfolio, patents, codes.MatchConfig(metric="rarity_weighted"), known)["per"].collect()
+    assert {(r.buyer, r.overlap_strength, r.in_domain_patents, tuple(r.shared_codes)) for r in out} == {("b", 8.0, 2, ("A", "B"))} and len(out) == 20
+
+
 def test_service():
     answers = [(500, ""), (200, json.dumps({"patentFileWrapperDataBag": [{"applicationMetaData": {"patentNumber": "1", "cpcClassificationBag": ["H04L", "H04L"]}}]}))]
     service = code_api.CodeService("http://x", "k", lambda url, headers: answers.pop(0), sleep=lambda s: None)
