@@ -203,7 +203,7 @@ def test_ranks_of_one_set(spark, uncoalesced, metric):
     assert out.select(F.spark_partition_id()).distinct().count() > 1
 
 
-@pytest.mark.parametrize("name, most", [("class", 1), ("per_jaccard", 1), ("per_rarity_weighted", 2)])
+@pytest.mark.parametrize("name, most", [("class", 1), ("per_jaccard", 1), ("per_rarity_weighted", 2), ("per_shared_count", 1)])
 def test_match_reads_lines(spark, name, most):
     """The pairs of buyers and patents are made once; for weights twice, but from one shuffle."""
     plan = queries.queries()[f"cpc_match_{name}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
